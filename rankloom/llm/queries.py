@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, near
+from . import bpe, chat, exact, forest, langid, licences, near, packing, substring
 from .common import crc_fold
 
 
@@ -13,6 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("words")), F.col("words")).drop("words")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, part=80, whole=100)
 
@@ -29,6 +44,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -36,9 +59,92 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) ->
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), spec).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op6_exact_dedup, op7_language_id, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_chat_format, op3_packing, op4_minhash_near_dedup, op6_exact_dedup, op7_language_id,
+        op8_licence_scan, op9_embedding_near_dedup, op10_bpe,
+    )
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_sql(column: str, template: chat.Template) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in sorted(template.control, key=lambda c: (-len(c), c)):
+        out = f"replace({out}, {_quoted(c)}, {_quoted(c[0] + chr(92) + c[1:])})"
+    return out
+
+
+def _chat_sql(template: chat.Template) -> str:
+    marks = len(template.turn_open + template.text_open + template.turn_close)
+    loss = "role IN (" + ", ".join(map(_quoted, template.loss_roles)) + ")"
+    state = _quoted(template.start)
+    # the state machine, as a recursive walk over the turns
+    steps = ", ".join(f"({_quoted(a)}, {_quoted(r)}, {_quoted(b)})" for a, row in template.transitions.items() for r, b in row.items())
+    final = ", ".join(map(_quoted, template.final))
+    return f"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k, role, text FROM (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        steps(a, role, b) AS (VALUES {steps}),
+        walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS k, {state} AS state FROM (SELECT DISTINCT conv_id FROM c)
+            UNION ALL
+            SELECT w.conv_id, w.k + 1, s.b FROM walk w JOIN c ON c.conv_id = w.conv_id AND c.k = w.k JOIN steps s ON s.a = w.state AND s.role = c.role),
+        ends AS (SELECT conv_id, max(k) AS read, max_by(state, k) AS state FROM walk GROUP BY conv_id),
+        f AS (
+            SELECT conv_id, count(*) AS n_turns,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+                CAST(coalesce(sum(length(text)) FILTER (WHERE {loss}), 0) AS BIGINT) AS loss_chars,
+                sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE {loss}), '')) AS loss_sha256,
+                CAST(sum(length({_escaped_sql("role", template)}) + length({_escaped_sql("text", template)}) + {marks}) AS BIGINT) AS formatted_chars
+            FROM c GROUP BY conv_id)
+        SELECT f.*, read = n_turns AND state IN ({final}) AS valid,
+            CAST(CASE WHEN read < n_turns THEN read WHEN state IN ({final}) THEN -1 ELSE n_turns - 1 END AS INTEGER) AS first_bad_turn
+        FROM f JOIN ends USING (conv_id)
+    """
+
+
+def _licence_sql(scan: licences.LicenceScan) -> str:
+    templates = ", ".join(f"({k}, {_quoted(name)}, [{', '.join(map(_quoted, licences.python_bigrams(text)))}])" for k, (name, text) in enumerate(scan.templates))
+    return f"""
+        WITH t(template_no, licence, g) AS (VALUES {templates}),
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+        words AS (
+            SELECT doc_id, line_no, string_split(trim(regexp_replace(
+                translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+            FROM lines),
+        grams AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+        m AS (SELECT doc_id, line_no, licence, template_no, len(list_intersect(b, g)) AS c, len(b) AS n, len(g) AS t FROM grams CROSS JOIN t)
+        SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, licence, CAST(template_no AS INTEGER) AS template_no, CAST(c AS INTEGER) AS common,
+            CAST(n AS INTEGER) AS line_bigrams, CAST(t AS INTEGER) AS template_bigrams, CAST(2 * c AS DOUBLE) / (n + t) AS dice
+        FROM m WHERE 200 * c >= {scan.percent} * (n + t)
+    """
+
 
 ORACLE_SQL = {
+    "op2_chat_format": _chat_sql(chat.Template()),
+    "op8_licence_scan": _licence_sql(licences.LicenceScan()),
+    "op9_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+        m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
     "op4_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(
