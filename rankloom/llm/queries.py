@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, forest, langid, licences, near, packing, substring
+from . import bpe, chat, exact, forest, langid, licences, near, packing, quality, substring
 from .common import crc_fold
 
 
@@ -32,6 +32,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, part=80, whole=100)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    network = quality.train(docs.select("doc_id", "text"), labels.where(~held_out))
+    return quality.score_quality(docs.select("doc_id", held_out.alias("held_out"), "text"), network).drop("text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -62,7 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) ->
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_chat_format, op3_packing, op4_minhash_near_dedup, op6_exact_dedup, op7_language_id,
+        op1_substring_dedup, op2_chat_format, op3_packing, op4_minhash_near_dedup, op5_quality, op6_exact_dedup, op7_language_id,
         op8_licence_scan, op9_embedding_near_dedup, op10_bpe,
     )
 }
