@@ -75,9 +75,19 @@ def contains_folded(haystack: Column, needle: Column) -> Column:
 
 
 def first_by_key(values: Column, key) -> Column:
-    """Order-preserving distinct by key(value): the first of each key stays."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == (i + 1).cast("long"))
+    """Order-preserving distinct by key(value): the first of each key stays.
+
+    Values are sorted by key and place, and those stay whose neighbour has another key. The sorted array is bound by an
+    outer lambda: within a lambda, an expression that isn't its variable would be evaluated for every element.
+    """
+    keyed = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    firsts = F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"])))[0]
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, where use has lambdas that read it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def all_answers(answers: Column, aliases: Column) -> Column:
@@ -94,7 +104,7 @@ def merged(existing: Column, incoming: Column) -> Column:
 
 def contains_any(text: Column, aliases: Column) -> Column:
     """F5. Null without aliases; else whether some alias's key is within the text's key."""
-    return F.when(F.size(aliases) == 0, F.lit(None).cast("boolean")).otherwise(F.exists(aliases, lambda a: F.contains(normal_key(text), normal_key(a))))
+    return F.when(F.size(aliases) == 0, F.lit(None).cast("boolean")).otherwise(bound(normal_key(text), lambda key: F.exists(aliases, lambda a: F.contains(key, normal_key(a)))))
 
 
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
@@ -141,16 +151,14 @@ def capitalised_spans(text: Column) -> Column:
 
 def introduced(query: Column, expansion: Column) -> Column:
     """F11. Candidates of the expansion whose key the query does not anchor, the first of each key."""
-    known = anchor_keys(query)
-    new = F.filter(candidates(expansion), lambda c: (normal_key(c) != "") & ~F.array_contains(known, normal_key(c)))
+    new = bound(anchor_keys(query), lambda known: F.filter(candidates(expansion), lambda c: (normal_key(c) != "") & ~F.array_contains(known, normal_key(c))))
     return first_by_key(new, normal_key)
 
 
 def support_overlap(text: Column, evidence: Column) -> Column:
     """F12. The largest share of the text's distinct tokens in one evidence text; 0 without tokens."""
-    own = F.array_distinct(tokens(text))
-    best = F.array_max(F.transform(evidence, lambda e: F.size(F.array_intersect(own, tokens(e))).cast("double") / F.size(own)))
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.coalesce(best, F.lit(0.0)))
+    share = bound(F.array_distinct(tokens(text)), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(F.array_max(F.transform(evidence, lambda e: F.size(F.array_intersect(own, tokens(e))).cast("double") / F.size(own)))))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def entailed(text: Column, evidence: Column, share: float = 0.75) -> Column:
@@ -175,15 +183,15 @@ def mask_capitalised(text: Column, query: Column, slot: str = "[ENTITY]") -> Col
     The text is cut at each run: what precedes the n-th run, then the run or the slot; so one pass, without a UDF.
     """
     marked = F.regexp_replace(text, CAPITALISED_4, "\u0001$0\u0002")
-    known = F.transform(anchors(query), F.lower)
 
-    def piece(p: Column) -> Column:
+    def piece(p: Column, known: Column) -> Column:
         span, rest = F.substring_index(p, "\u0002", 1), F.substr(p, F.instr(p, "\u0002") + 1)
         kept = span.isin(*KEPT_CAPITALS) | F.array_contains(known, F.lower(span))
         return F.concat(F.when(kept, span).otherwise(F.lit(slot)), rest)
 
     parts = F.split(marked, "\u0001", -1)
-    return F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), piece)), "")
+    after = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+    return F.array_join(F.concat(F.slice(parts, 1, 1), bound(F.transform(anchors(query), F.lower), lambda known: F.transform(after, lambda p: piece(p, known)))), "")
 
 
 def mask_answer(text: Column, query: Column) -> Column:
@@ -225,9 +233,9 @@ def filler_then_query(query: Column, reference: Column) -> Column:
 
 def repeat_to_length(query: Column, reference: Column) -> Column:
     """F23. The query, then its words cycled to as many as the reference has."""
-    own = words(query)
-    cycled = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words(reference)), F.lit(1)) - 1), lambda i: F.element_at(own, (i % F.size(own)) + 1))
-    return F.when(F.size(own) == 0, query).otherwise(F.trim(F.concat(query, F.lit("\n"), F.array_join(cycled, " "))))
+    places = F.sequence(F.lit(0), F.greatest(F.size(words(reference)), F.lit(1)) - 1)
+    cycled = bound(words(query), lambda own: F.transform(places, lambda i: F.get(own, i % F.greatest(F.size(own), F.lit(1)))))
+    return F.when(F.size(words(query)) == 0, query).otherwise(F.trim(F.concat(query, F.lit("\n"), F.array_join(cycled, " "))))
 
 
 def shuffled(text: Column, seed: Column) -> Column:
@@ -295,8 +303,7 @@ def deobfuscate(text: Column, entity_map: Column) -> Column:
 
 def has_support_term(text: Column, terms: Column) -> Column:
     """F32."""
-    low = folded(text)
-    return F.exists(terms, lambda t: (folded(t) != "") & F.contains(low, folded(t)))
+    return bound(folded(text), lambda low: F.exists(terms, lambda t: (folded(t) != "") & F.contains(low, folded(t))))
 
 
 def generic_penalty(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Words of a probe: a run inside the passage, so that its words are whole wherever the passage stands.
 PROBE = 5
 
@@ -22,7 +24,7 @@ def containing(documents: DataFrame, passages: DataFrame, doc_id: str = "doc_id"
     long = known.where(F.size("w") >= PROBE + 2).select(passage_id, "p", F.xxhash64(F.array_join(F.slice("w", 2, PROBE), " ")).alias("probe"))
     own = F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")
     runs = documents.where("text is not null").select(doc_id, own.alias("w")).where(F.size("w") >= PROBE)
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - PROBE + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, PROBE), " "))))
+    hashes = T.bound(F.col("w"), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - PROBE + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, PROBE), " ")))))
     hits = runs.select(doc_id, F.explode(hashes).alias("probe")).join(long, "probe").select(doc_id, passage_id, "p")
     # the text is fetched again for the few hits, instead of travelling with every run
     found = hits.join(documents.select(doc_id, "text"), doc_id).where(F.contains("text", F.col("p"))).select(doc_id, passage_id)

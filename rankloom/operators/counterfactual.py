@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +129,6 @@ def rename(df: DataFrame, aliases: DataFrame, key: str, columns: list[str], arra
     alias may also become applicable by what another one wrote: sources whose first token occurs in any alias's text meet
     every row, as do sources without a token. Then the exact, sequential substitution runs over that short list.
     """
-    import pandas as pd
-
-    from collections.abc import Iterator
-
     parts = [F.coalesce(c, F.lit("")) for c in columns] + [F.array_join(F.coalesce(c, T.strings()), "\n") for c in arrays]
     rows = df.withColumn("__all", F.concat_ws("\n", *parts))
     al = aliases.select("ord", "source", "alias", F.element_at(F.transform(T.tokens(F.col("source")), F.lower), F.when(F.size(T.tokens(F.col("source"))) > 0, 1)).alias("token"))
@@ -144,10 +141,10 @@ def rename(df: DataFrame, aliases: DataFrame, key: str, columns: list[str], arra
     empty = F.slice("__always", 1, 0)
     listed = joined.withColumn("__pairs", F.array_sort(F.array_union(F.coalesce("__own", empty), F.col("__always"))))
 
-    @F.pandas_udf("array<string>")
-    def apply(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, pairs in it:
-            yield pd.Series([[rename_text(v, [(p["source"], p["alias"]) for p in ps]) for v in vs] for vs, ps in zip(values, pairs)])
+    @F.arrow_udf("array<string>")
+    def apply(values: pa.Array, pairs: pa.Array) -> pa.Array:
+        lists = [[(p["source"], p["alias"]) for p in ps or []] for ps in pairs.to_pylist()]
+        return pa.array([[rename_text(v, ps) for v in vs] for vs, ps in zip(values.to_pylist(), lists)], pa.list_(pa.string()))
 
     flat = F.concat(F.array(*[F.col(c) for c in columns]), *[F.coalesce(c, T.strings()) for c in arrays])
     made = listed.withColumn("__made", apply(flat, F.col("__pairs")))

@@ -7,8 +7,11 @@ broadcasts a side only under its size limit, and otherwise shuffles on the key,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,20 +121,14 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int | None = 10, key
 def encode_texts(df: DataFrame, encoder, dim: int, text_col: str = "text", prefix: str = "") -> DataFrame:
     """R3. df with `embedding`, by a pluggable encoder(list of str) -> (n, dim) array, made once a worker by encoder(); rows
     are L2-normalised single precision. Arrow batches, so the model is called on many texts at once."""
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("array<float>")
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder()
         for t in batches:
             x = np.asarray(model([prefix + (s or "") for s in t.to_pylist()]), np.float32).reshape(-1, dim)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             yield pa.array(list(x), pa.list_(pa.float32()))
 
-    from collections.abc import Iterator
-
-    run.func.__annotations__.update({"batches": Iterator[pa.Array], "return": Iterator[pa.Array]})
     return df.withColumn("embedding", run(F.col(text_col)))
 
 

@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +45,10 @@ def permutation_exact(deltas: Sequence[float], resamples: int = 1000, seed: int
 
 def exact_statistics(deltas: DataFrame, keys: tuple[str, ...] = ("comparison", "metric"), order: str = "query_id", resamples: int = 1000, seed: int = 13) -> DataFrame:
     """M7, M8, M11 bit by bit as a seeded generator gives them: a group is the few values of one comparison, in order."""
-    import pandas as pd
-
     schema = ", ".join(f"{k} {t}" for k, t in deltas.dtypes if k in keys) + ", n long, mean double, low double, high double, p_value double"
     names = [c for c, _ in deltas.dtypes if c in keys]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(order)["delta"].tolist()
         return pd.DataFrame([[*key, len(v), *bootstrap_exact(v, resamples, seed=seed), permutation_exact(v, resamples, seed=seed)]], columns=[*names, "n", "mean", "low", "high", "p_value"])
 

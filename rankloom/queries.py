@@ -774,7 +774,7 @@ def alias_table(t: Tables) -> DataFrame:
     return _aliases(t).select("source", "type", "alias")
 
 
-@query(with_(SPANS, then="SELECT source, CASE type WHEN 'PERSON' THEN 'Person P' WHEN 'LOCATION' THEN 'Site L' WHEN 'ORGANIZATION' THEN 'Organization O' ELSE 'Entity E' END || '-' || lpad(CAST(i AS VARCHAR), greatest(3, length(CAST(i AS VARCHAR))), '0') AS alias FROM nu"))
+@query(with_(SPANS, then="SELECT source, CASE type WHEN 'PERSON' THEN 'Person P' WHEN 'LOCATION' THEN 'Site L' WHEN 'ORGANIZATION' THEN 'Organization O' ELSE 'Entity E' END || '-' || lpad(CAST(i AS VARCHAR), CAST(greatest(3, length(CAST(i AS VARCHAR))) AS INTEGER), '0') AS alias FROM nu"))
 def alias_table_coded(t: Tables) -> DataFrame:
     """F38, coded."""
     return _aliases(t, "coded").select("source", "alias")
