@@ -24,12 +24,16 @@ class HammingIndex:
     By the pigeonhole principle two signatures that differ in at most 2 * chunks - 1 symbols have a chunk with at most
     one difference, so they agree on one of that chunk's keys that leave one symbol out: all pairs up to `reach` share a key.
     With 64 symbols in 13 chunks the reach is 25; a pair of similarity 0.8 differs in 12.8 symbols in the mean (standard
-    deviation 3.2). Pairs that share a key are verified up to `distance` symbols, 6.8 deviations from that mean.
+    deviation 3.2), and beyond the reach it still shares a key but for one pair in 10^7.
+
+    Of the pairs that share a key those go on to the full sets that differ in at most `distance` of `estimate` 8-bit
+    values: 83 of 256 is 5 deviations above the mean of a pair of similarity 0.8.
     """
 
     symbols: int = 64
     chunks: int = 13
-    distance: int = 34
+    estimate: int = 256
+    distance: int = 83
 
     @property
     def reach(self) -> int:
@@ -53,25 +57,27 @@ _MUL, _XOR = randoms(20, 256) | np.uint64(1), randoms(21, 256)
 def minhash(items: np.ndarray, symbols: int) -> np.ndarray:
     """b-bit MinHash of a non-empty set of hashes: the low 16 bits of each mixed minimum."""
     low = np.full(symbols, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(items), 2048):
-        x = items[a : a + 2048][None, :] ^ _XOR[:symbols, None]
+    for a in range(0, len(items), 512):
+        x = items[a : a + 512][None, :] ^ _XOR[:symbols, None]
         x *= _MUL[:symbols, None]
         np.minimum(low, x.min(axis=1), out=low)
     return (mix(low) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def _signatures(shingle: int, symbols: int):
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+def _signatures(shingle: int, index: HammingIndex):
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("est", pa.binary())])
 
     def run(batches):
         for rows in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, est = [], [], [], []
             for words in texts_words(rows.column(1)):
                 items = shingle_set(words, shingle)
+                values = minhash(items, max(index.symbols, index.estimate)) if len(items) else None
                 n.append(len(items))
                 cls.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                sig.append(minhash(items, symbols).tobytes() if len(items) else None)
-            yield batch(schema, rows.column(0), n, cls, sig)
+                sig.append(values[: index.symbols].tobytes() if len(items) else None)
+                est.append(values[-index.estimate :].astype(np.uint8).tobytes() if len(items) else None)
+            yield batch(schema, rows.column(0), n, cls, sig, est)
 
     return run
 
@@ -88,14 +94,17 @@ def _key_rows(index: HammingIndex):
     return run
 
 
+def _estimates(column) -> np.ndarray:
+    return utf8(column)[0].reshape(len(column), -1)
+
+
 def _close(index: HammingIndex):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for rows in batches:
             if rows.num_rows:
-                x, y = (utf8(rows.column(i))[0].view("<u2").reshape(rows.num_rows, -1) for i in (2, 3))
-                near = np.flatnonzero((x != y).sum(axis=1) <= index.distance)
+                near = np.flatnonzero((_estimates(rows.column(2)) != _estimates(rows.column(3))).sum(axis=1) <= index.distance)
                 yield batch(schema, rows.column(0).to_numpy()[near], rows.column(1).to_numpy()[near])
 
     return run
@@ -132,20 +141,30 @@ def _confirmed(part: int, whole: int):
     return run
 
 
-def _cross(index: HammingIndex):
-    """Pairs of a block of a bucket and a block of its rows outside the main component: other component, close, not with the head."""
+def _cross(index: HammingIndex, part: int, whole: int, nearest: bool):
+    """Pairs of a block of a bucket and a block of its rows outside the main component: of different components, close,
+    of sizes that allow the similarity, not with the bucket's head (those pairs are known). nearest: for each outer row
+    the closest one only."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def fn(table: pa.Table):
-        rep, comp, head, other = (table.column(k).to_numpy() for k in ("rep", "comp", "head", "other"))
-        sig = utf8(table.column("sig"))[0].view("<u2").reshape(table.num_rows, -1)
+        rep, comp, head, other, n = (table.column(k).to_numpy() for k in ("rep", "comp", "head", "other", "n_shingles"))
+        est = _estimates(table.column("est"))
         left, right = np.flatnonzero(other == 0), np.flatnonzero(other == 1)
         found = []
         for a in range(0, len(right), 64):
             r = right[a : a + 64]
-            far = (sig[left][None, :, :] != sig[r][:, None, :]).sum(axis=2) if len(left) else np.zeros((len(r), 0), int)
-            ok = (far <= index.distance) & (comp[left][None, :] != comp[r][:, None]) & (rep[left] != head[left])[None, :] & (rep[r] != head[r])[:, None]
+            ok = (comp[left][None, :] != comp[r][:, None]) & (rep[left] != head[left])[None, :] & (rep[r] != head[r])[:, None]
+            ok &= whole * np.minimum(n[left][None, :], n[r][:, None]) >= part * np.maximum(n[left][None, :], n[r][:, None])
             i, j = np.nonzero(ok)
+            far = np.concatenate([(est[left[j[k : k + 4096]]] != est[r[i[k : k + 4096]]]).sum(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0, int)])
+            close = far <= index.distance
+            i, j, far = i[close], j[close], far[close]
+            if nearest and len(i):
+                order = np.lexsort((j, far, i))
+                i, j = i[order], j[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]])
+                i, j = i[first], j[first]
             found.append(np.stack([rep[r][i], rep[left][j]], axis=1))
         if found and len(pairs := np.unique(np.sort(np.concatenate(found), axis=1), axis=0)):
             yield batch(schema, pairs[:, 0], pairs[:, 1])
@@ -153,11 +172,26 @@ def _cross(index: HammingIndex):
     return fn
 
 
+def _crossing(members: DataFrame, reps: DataFrame, comp: DataFrame, index: HammingIndex, part: int, whole: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) between the components that meet in a bucket; buckets are dealt to blocks."""
+    labelled = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("comp"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most")).where("k > 1")
+    blocks = mixed.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("long").alias("nb"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long").alias("ob"))
+    rows = labelled.join(blocks, "key").withColumn("h", F.xxhash64("rep"))
+    spread = rows.withColumn("i", F.pmod("h", "nb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1))).withColumn("other", F.lit(0))
+    outer = rows.where("comp <> main").withColumn("j", F.pmod("h", "ob")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("other", F.lit(1))
+    columns = ["key", "i", "j", "rep", "comp", "head", "other"]
+    work = spread.select(columns).unionByName(outer.select(columns)).join(reps.select("rep", "n_shingles", "est"), "rep")
+    return grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole, nearest), "a long, b long").distinct()
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, index: HammingIndex, shingle: int, part: int, whole: int, prefilter: bool) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough. Sets are built again, from the texts of these documents only."""
     if prefilter:
-        sig = reps.select("rep", "sig")
-        pairs = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long")
+        own = reps.select("rep", "n_shingles", "est")
+        pairs = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").where(f"{whole} * least(m, n) >= {part} * greatest(m, n)")
+        pairs = pairs.select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long")
     pairs = write_table(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "id long, items binary")
@@ -181,39 +215,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Plan: (1) one pass over the texts for signatures, written to the shared folder; (2) a class for each distinct set;
     (3) keys of the multi-index; each row of a bucket is paired with the bucket's smallest id only, and the pairs are
-    confirmed on full sets; (4) components of these; (5) in each bucket that still holds several components, the rows
-    outside its largest component meet all its rows, in blocks of BLOCK x BLOCK, as candidates; (6) these are confirmed,
-    and the components of all links returned. No bucket is expanded into all its pairs, and none is cut.
+    confirmed on full sets; (4) components of these; (5) in each bucket that still holds several components, each row
+    outside its largest component is paired with the closest row of another component, confirmed, and united; (6) where
+    components still meet in a bucket, all close pairs between them are confirmed. So no bucket is expanded into all its
+    pairs, none is cut, and buckets are compared in blocks of BLOCK x BLOCK.
     """
     spark = df.sparkSession
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = write_table(docs.mapInArrow(_signatures(shingle, index.symbols), "id long, n_shingles long, cls binary, sig binary"), "signatures")
-    reps = write_table(sig.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    sig = write_table(docs.mapInArrow(_signatures(shingle, index), "id long, n_shingles long, cls binary, sig binary, est binary"), "signatures")
+    reps = write_table(sig.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "est")]), "classes")
     keys = reps.select("rep", "sig").mapInArrow(_key_rows(index), "key long, rep long")
     multi = write_table(keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head <> last"), "buckets")
     members = write_table(keys.join(multi.select("key", "head", "n"), "key").select("key", "rep", "head", "n"), "members")
+    drop_table(multi)
 
     stars = members.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.lit(1)).select("a", "b")
-    first = _verified(docs, reps, stars, index, shingle, part, whole, True)
-    comp = write_table(connected_components(first), "labels")
-
-    labelled = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("comp"))
-    labelled = write_table(labelled, "labelled")
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most")).where("k > 1")
-    blocks = mixed.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("long").alias("nb"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long").alias("ob"))
-    rows = labelled.join(blocks, "key").withColumn("h", F.xxhash64("rep"))
-    spread = rows.withColumn("i", F.pmod("h", "nb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1))).withColumn("other", F.lit(0))
-    outer = rows.where("comp <> main").withColumn("j", F.pmod("h", "ob")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("other", F.lit(1))
-    columns = ["key", "i", "j", "rep", "comp", "head", "other"]
-    work = spread.select(columns).unionByName(outer.select(columns)).join(reps.select("rep", "sig"), "rep")
-    crossing = grouped_arrow(work, ["key", "i", "j"], _cross(index), "a long, b long").distinct()
-    second = _verified(docs, reps, crossing, index, shingle, part, whole, False)
-
-    comp = write_table(connected_components(first.unionByName(second)), "labels")
+    edges = _verified(docs, reps, stars, index, shingle, part, whole, True)
+    comp = write_table(connected_components(edges), "labels")
+    for nearest in (True, False):
+        pairs = _crossing(members, reps, comp, index, part, whole, nearest)
+        edges = edges.unionByName(_verified(docs, reps, pairs, index, shingle, part, whole, False))
+        comp = write_table(connected_components(edges), "labels")
+    drop_table(members)
     classes = reps.select("cls", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
-    for t in (members, multi, labelled):
-        drop_table(t)
     out = sig.select("id", "n_shingles", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
