@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import batch, drop_table, grouped_arrow, mix, randoms, shingle_set, texts_words, tune, utf8, write_table
 from .components import connected_components
 
-#: Rows of a block where a bucket's rows are compared with each other.
-BLOCK = 1024
+#: Rows of a block where a bucket's rows are compared by signatures, and a cluster's by full sets of SETS shingles in all.
+BLOCK, SET_BLOCK, SETS = 512, 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -141,66 +141,92 @@ def _confirmed(part: int, whole: int):
     return run
 
 
-def _cross(index: HammingIndex, part: int, whole: int, nearest: bool):
-    """Pairs of a block of a bucket and a block of its rows outside the main component: of different components, close,
-    of sizes that allow the similarity, not with the bucket's head (those pairs are known). nearest: for each outer row
-    the closest one only."""
+def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, its smallest reachable row) that connect what the matrix near (left x right) connects."""
+    label = np.arange(size)
+    touched = np.zeros(size, bool)
+    touched[left] = near.any(axis=1)
+    touched[right] |= near.any(axis=0)
+    while touched.any():
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(near, label[right][None, :], size).min(axis=1))
+        label[right] = np.minimum(label[right], np.where(near, label[left][:, None], size).min(axis=0))
+        if (before == label).all():
+            break
+    rows = np.flatnonzero(label != np.arange(size))
+    return rows, label[rows]
+
+
+def _sizes_allow(n: np.ndarray, left: np.ndarray, right: np.ndarray, part: int, whole: int) -> np.ndarray:
+    return whole * np.minimum(n[left][:, None], n[right][None, :]) >= part * np.maximum(n[left][:, None], n[right][None, :])
+
+
+def _cross(index: HammingIndex, part: int, whole: int):
+    """Spanning links between clusters that meet in a block of a bucket and a block of its rows outside the main cluster."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def fn(table: pa.Table):
-        rep, comp, head, other, n = (table.column(k).to_numpy() for k in ("rep", "comp", "head", "other", "n_shingles"))
+        rep, comp, other, n = (table.column(k).to_numpy() for k in ("rep", "comp", "other", "n_shingles"))
         est = _estimates(table.column("est"))
         left, right = np.flatnonzero(other == 0), np.flatnonzero(other == 1)
-        found = []
-        for a in range(0, len(right), 64):
-            r = right[a : a + 64]
-            ok = (comp[left][None, :] != comp[r][:, None]) & (rep[left] != head[left])[None, :] & (rep[r] != head[r])[:, None]
-            ok &= whole * np.minimum(n[left][None, :], n[r][:, None]) >= part * np.maximum(n[left][None, :], n[r][:, None])
-            i, j = np.nonzero(ok)
-            far = np.concatenate([(est[left[j[k : k + 4096]]] != est[r[i[k : k + 4096]]]).sum(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0, int)])
-            close = far <= index.distance
-            i, j, far = i[close], j[close], far[close]
-            if nearest and len(i):
-                order = np.lexsort((j, far, i))
-                i, j = i[order], j[order]
-                first = np.concatenate([[True], i[1:] != i[:-1]])
-                i, j = i[first], j[first]
-            found.append(np.stack([rep[r][i], rep[left][j]], axis=1))
-        if found and len(pairs := np.unique(np.sort(np.concatenate(found), axis=1), axis=0)):
-            yield batch(schema, pairs[:, 0], pairs[:, 1])
+        near = (comp[left][:, None] != comp[right][None, :]) & _sizes_allow(n, left, right, part, whole)
+        for k in range(0, len(left), 16):
+            near[k : k + 16] &= (est[left[k : k + 16]][:, None, :] != est[right][None, :, :]).sum(axis=2) <= index.distance
+        i, j = _spanning(near, left, right, len(rep))
+        keep = rep[i] != rep[j]
+        if keep.any():
+            yield batch(schema, rep[i[keep]], rep[j[keep]])
 
     return fn
 
 
-def _crossing(members: DataFrame, reps: DataFrame, comp: DataFrame, index: HammingIndex, part: int, whole: int, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) between the components that meet in a bucket; buckets are dealt to blocks."""
-    labelled = members.where("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("comp"))
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most")).where("k > 1")
-    blocks = mixed.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("long").alias("nb"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long").alias("ob"))
-    rows = labelled.join(blocks, "key").withColumn("h", F.xxhash64("rep"))
-    spread = rows.withColumn("i", F.pmod("h", "nb")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1))).withColumn("other", F.lit(0))
-    outer = rows.where("comp <> main").withColumn("j", F.pmod("h", "ob")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("other", F.lit(1))
-    columns = ["key", "i", "j", "rep", "comp", "head", "other"]
-    work = spread.select(columns).unionByName(outer.select(columns)).join(reps.select("rep", "n_shingles", "est"), "rep")
-    return grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole, nearest), "a long, b long").distinct()
-
-
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, index: HammingIndex, shingle: int, part: int, whole: int, prefilter: bool) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. Sets are built again, from the texts of these documents only."""
-    if prefilter:
-        own = reps.select("rep", "n_shingles", "est")
-        pairs = pairs.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").where(f"{whole} * least(m, n) >= {part} * greatest(m, n)")
-        pairs = pairs.select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long")
-    pairs = write_table(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "id long, items binary")
-    sets = write_table(sets, "sets")
-    joined = pairs.join(sets.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "items": "y"}), "b").select("a", "b", "x", "y")
-    edges = write_table(joined.mapInArrow(_confirmed(part, whole), "a long, b long"), "edges")
-    drop_table(pairs)
-    drop_table(sets)
-    return edges
+def _exact(part: int, whole: int):
+    """Spanning links of a block of a cluster and a block of its rows outside the main component, by full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def fn(table: pa.Table):
+        rep, other, comp = (table.column(k).to_numpy() for k in ("rep", "other", "comp"))
+        data, offsets = utf8(table.column("items"))
+        items, n = data.view(np.uint64), np.diff(offsets) // 8
+        owner = np.repeat(np.arange(len(rep)), n)
+        order = np.argsort(items, kind="stable")
+        owner, new = owner[order], np.concatenate([[True], np.diff(items[order]) != 0]) if len(items) else np.zeros(0, bool)
+        column = np.cumsum(new) - 1
+        left, right = np.flatnonzero(other == 0), np.flatnonzero(other == 1)
+        common = np.zeros((len(left), len(right)))
+        place = np.zeros(len(rep), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [c, c + 4096])
+            x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+            o, k = owner[lo:hi], column[lo:hi] - c
+            x[place[o[other[o] == 0]], k[other[o] == 0]] = 1
+            y[place[o[other[o] == 1]], k[other[o] == 1]] = 1
+            common += x @ y.T
+        near = whole * common >= part * (n[left][:, None] + n[right][None, :] - common)
+        near &= comp[left][:, None] != comp[right][None, :]
+        i, j = _spanning(near, left, right, len(rep))
+        keep = rep[i] != rep[j]
+        if keep.any():
+            yield batch(schema, rep[i[keep]], rep[j[keep]])
+
+    return fn
+
+
+def _dealt(rows: DataFrame, group: str, block: int, weight: str | None = None) -> DataFrame:
+    """rows (group, rep, comp, ...) of the groups that hold several components, as (group, i, j, other, ...): every row, in
+    blocks, meets the blocks of the rows outside the group's largest component (other = 1). Blocks hold about `block` rows,
+    and `SETS` of weight."""
+    w = F.sum(F.col(weight) if weight else F.lit(0))
+    sizes = rows.groupBy(group, "comp").agg(F.count("*").alias("c"), w.alias("w"))
+    mixed = sizes.groupBy(group).agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("k > 1")
+    per = F.greatest(F.lit(1.0), F.lit(float(block)) if weight is None else F.least(F.lit(float(block)), F.lit(float(SETS)) * F.col("c") / F.greatest("w", F.lit(1))))
+    blocks = mixed.select(group, "main", F.ceil(F.col("c") / per).cast("long").alias("nb"), F.ceil((F.col("c") - F.col("most")) / per).cast("long").alias("ob"))
+    met = rows.join(blocks, group).withColumn("h", F.xxhash64("rep"))
+    zero = F.lit(0).cast("long")
+    every = met.withColumn("i", F.pmod("h", "nb")).withColumn("j", F.explode(F.sequence(zero, F.col("ob") - 1))).withColumn("other", F.lit(0))
+    outer = met.where("comp <> main").withColumn("j", F.pmod("h", "ob")).withColumn("i", F.explode(F.sequence(zero, F.col("nb") - 1))).withColumn("other", F.lit(1))
+    return every.unionByName(outer).drop("h", "nb", "ob", "main")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, index: HammingIndex = HammingIndex()) -> DataFrame:
@@ -214,11 +240,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are not read. Texts may be of any length; A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+.
 
     Plan: (1) one pass over the texts for signatures, written to the shared folder; (2) a class for each distinct set;
-    (3) keys of the multi-index; each row of a bucket is paired with the bucket's smallest id only, and the pairs are
-    confirmed on full sets; (4) components of these; (5) in each bucket that still holds several components, each row
-    outside its largest component is paired with the closest row of another component, confirmed, and united; (6) where
-    components still meet in a bucket, all close pairs between them are confirmed. So no bucket is expanded into all its
-    pairs, none is cut, and buckets are compared in blocks of BLOCK x BLOCK.
+    (3) keys of the multi-index; each row of a bucket is paired with the bucket's smallest id only, and close pairs form
+    clusters; (4) where several clusters meet in a bucket, its rows outside the largest one meet all its rows, and what
+    connects close pairs joins the clusters: all pairs that share a key and are close are now in one cluster, and a row
+    is in one only; (5) a second pass over the texts of clusters builds full sets; the pairs of (3) are confirmed;
+    (6) in clusters that still hold several components, the rows outside the largest one meet all others by full sets.
+    Rows meet in blocks of BLOCK (SET_BLOCK) rows; blocks return links that span what they found, so nothing grows with
+    the square of a group but the comparisons themselves, and no group is cut.
     """
     spark = df.sparkSession
     tune(spark)
@@ -230,14 +258,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = write_table(keys.join(multi.select("key", "head", "n"), "key").select("key", "rep", "head", "n"), "members")
     drop_table(multi)
 
+    own = reps.select("rep", "n_shingles", "est")
     stars = members.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.lit(1)).select("a", "b")
-    edges = _verified(docs, reps, stars, index, shingle, part, whole, True)
-    comp = write_table(connected_components(edges), "labels")
-    for nearest in (True, False):
-        pairs = _crossing(members, reps, comp, index, part, whole, nearest)
-        edges = edges.unionByName(_verified(docs, reps, pairs, index, shingle, part, whole, False))
-        comp = write_table(connected_components(edges), "labels")
+    stars = stars.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").where(f"{whole} * least(m, n) >= {part} * greatest(m, n)")
+    pairs = write_table(stars.select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long"), "pairs")
+    cluster = write_table(connected_components(pairs), "clusters")
+    labelled = members.where("n > 2").join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    work = _dealt(labelled, "key", BLOCK).join(own, "rep")
+    crossing = grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole), "a long, b long").distinct()
+    cluster = write_table(connected_components(pairs.unionByName(crossing)), "clusters").toDF("rep", "cluster")
     drop_table(members)
+
+    sets = docs.join(cluster.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items binary")
+    sets = write_table(sets, "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    edges = write_table(both.mapInArrow(_confirmed(part, whole), "a long, b long"), "edges")
+    comp = write_table(connected_components(edges), "labels").toDF("rep", "component")
+    within = cluster.join(comp, "rep", "left").join(reps.select("rep", "n_shingles"), "rep").select("cluster", "rep", F.coalesce("component", "rep").alias("comp"), "n_shingles")
+    work = _dealt(within, "cluster", SET_BLOCK, "n_shingles").join(sets.toDF("rep", "items"), "rep")
+    more = write_table(grouped_arrow(work, ["cluster", "i", "j"], _exact(part, whole), "a long, b long").distinct(), "edges")
+    comp = write_table(connected_components(edges.unionByName(more)), "labels")
+    for t in (pairs, sets, edges, more):
+        drop_table(t)
     classes = reps.select("cls", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
     out = sig.select("id", "n_shingles", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
