@@ -72,6 +72,11 @@ def route_texts(dataset: Dataset, first: DataFrame, terms: DataFrame, routes: tu
     return g.select("query_id", F.explode(exprs).alias("r")).select("query_id", "r.route", "r.text")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage of what many parts of a plan read, in the session's checkpoint folder if it has one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def run(dataset: Dataset, config: Config = Config()) -> Result:
     """§3.1. Plans the selected methods and returns lazy tables; texts that occur twice are searched once.
 
@@ -87,13 +92,13 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     docs, q = dataset.documents, dataset.queries
     index = retrieval.lexical_index(docs.select("doc_id", "text"))
     own = q.select("query_id", "text")
-    first = retrieval.bm25_search(docs, own, max(config.top_k, 20), index=index)
-    terms = retrieval.support_terms(docs, first, own)
+    first = cut(retrieval.bm25_search(docs, own, max(config.top_k, 20), index=index))
+    terms = cut(retrieval.support_terms(docs, first, own))
     routes = required_routes(chosen)
-    texts = route_texts(dataset, first, terms, routes, config, index)
+    texts = cut(route_texts(dataset, first, terms, routes, config, index))
     hashed = texts.withColumn("text_hash", F.sha2("text", 256))
     once = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    scores = retrieval.bm25_scores(index, retrieval.query_terms(once, ("text_hash",)), ("text_hash",))
+    scores = cut(retrieval.bm25_scores(index, retrieval.query_terms(once, ("text_hash",)), ("text_hash",)))
     route_scores = hashed.select("query_id", "route", "text_hash").join(scores, "text_hash").drop("text_hash")
     ranked = retrieval.top_k(route_scores, config.top_k, ("query_id", "route"))
 

@@ -934,16 +934,3 @@ def generation_cache(t: Tables) -> DataFrame:
     new = t.texts.select(F.lit("new").alias("namespace"), F.lit("hyde").alias("task"), sha.alias("text_sha256"), F.when(F.col("query_id") % 4 == 0, F.lit("")).otherwise(made).alias("output_text"))
     hits, misses = generation.cached(req, new.unionByName(old), ["new", "old"])
     return hits.select("query_id", "output_text", F.lit(True).alias("hit")).unionByName(misses.select("query_id", F.lit(None).cast("string").alias("output_text"), F.lit(False).alias("hit")))
-
-
-@query()
-def experiment_metrics(t: Tables) -> DataFrame:
-    """§3.1: all methods of the full profile, in one plan."""
-    return _experiment(t).metrics.select("method", *[F.round(f"`{c}`", 6).alias(c.replace("@", "")) for c in ("recall@5", "recall@10", "recall@20", "mrr@10", "ndcg@10")], "n_queries")
-
-
-def _experiment(t: Tables):
-    from .plans import pipeline
-
-    d = datasets.Dataset("benchmark", t.documents.withColumn("title", F.lit("")), t.queries, t.qrels)
-    return pipeline.run(d, pipeline.Config(rm3=True))
