@@ -55,6 +55,17 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
+def first_by_hash(df: DataFrame, h: Column, n: int, count: int) -> DataFrame:
+    """The n rows of count that come first by a 64-bit hash folded to 40 bits, then by the hash itself.
+
+    Rows over four times the expected bound go before the sort, so that tasks do not each send n rows to the driver. Were
+    fewer than n left under the bound, which has odds of e^-n, the sample would be smaller.
+    """
+    folded = F.pmod(h, F.lit(1 << 40))
+    bound = 1 << 40 if count <= 4 * n else (4 * n << 40) // count
+    return df.where(folded < bound).orderBy(folded, h).limit(n)
+
+
 # -- grouping ---------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, drop_table, grouped_arrow, mix, tune, write_table
+from .common import batch, drop_table, first_by_hash, grouped_arrow, mix, tune, write_table
 from .components import connected_components
 
 #: Vectors of a block where a leaf's vectors are compared with each other.
@@ -189,7 +189,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     found = None
     for dim, count in sorted((r.dim, r["count"]) for r in classes.groupBy("dim").count().collect()):
         own = classes.where(F.col("dim") == dim)
-        some = own.select("vec").orderBy(F.xxhash64("cls", "vec")).limit(params.sample).collect()
+        some = first_by_hash(own, F.xxhash64("cls", "vec"), params.sample, count).select("vec").collect()
         forest = Forest(np.frombuffer(b"".join(bytes(r.vec) for r in some), np.float64).reshape(len(some), dim), count, params)
         part = own.select("cls", "n", "key", "vec").mapInArrow(_assign(forest), "leaf long, cls long, n long, vec binary, leaves array<long>")
         found = part if found is None else found.unionByName(part)

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import first_by_hash, tune
 
 #: Languages, texts a language, bytes a text and bytes a dictionary that are learned from: a bounded sample.
 LANGUAGES, TEXTS, TEXT_BYTES, DICT_BYTES = 64, 400, 2048, 110 << 10
@@ -39,10 +39,11 @@ def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "l
     LANGUAGES * TEXTS * TEXT_BYTES bytes. An empty table gives no dictionary.
     """
     rows = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.encode(F.substring(text_col, 1, TEXT_BYTES), "utf-8").alias("piece"))
-    top = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    top = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     out = {}
     for lang in sorted(top):
-        pieces = [bytes(r.piece)[:TEXT_BYTES] for r in rows.where(F.col("lang") == lang).orderBy("h").select("piece").limit(TEXTS).collect()]
+        some = first_by_hash(rows.where(F.col("lang") == lang), F.col("h"), TEXTS, top[lang])
+        pieces = [bytes(r.piece)[:TEXT_BYTES] for r in some.select("piece").collect()]
         out[lang] = b" ".join(map(letters, pieces))[-DICT_BYTES:]
     return out
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, spans, tune, utf8
+from .common import batch, first_by_hash, spans, tune, utf8
 
 #: A chunk is two blocks of BLOCK bytes; chunks overlap by one block. A filter sees two cells of CELL bytes.
 BLOCK, CELL = 256, 4
@@ -168,9 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     tune(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = {}
-    for y in (0, 1):
-        chosen |= {r.id: y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(params.documents).select("id").collect()}
+    for y in counts:
+        chosen |= {r.id: y for r in first_by_hash(known.where(F.col("y") == y), F.xxhash64("id"), params.documents, counts[y]).select("id").collect()}
     net = Network(params)
     if chosen:
         own = docs.where(F.col(id_col).isin(*chosen)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
