@@ -55,6 +55,11 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts and licence texts; op8_licence_scan has lines, as its SQL."""
+    return licences.scan_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_chat_format, op3_packing, op4_minhash_near_dedup, op5_quality, op6_exact_dedup, op7_language_id,
-        op8_licence_scan, op9_embedding_near_dedup, op10_bpe,
+        op8_licence_scan, op8_licence_scan_full, op9_embedding_near_dedup, op10_bpe,
     )
 }
 

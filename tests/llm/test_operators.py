@@ -208,6 +208,44 @@ def test_licences(spark, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def spans_by_brute_force(text, scan):
+    """All matching spans of all templates, the best of those that overlap."""
+    w, p, out = licences.python_words(text or ""), scan.percent, []
+    b = [f"{x} {y}" for x, y in zip(w, w[1:])]
+    for k, (_, template) in enumerate(scan.templates):
+        g, longest, good = set(licences.python_bigrams(template)), (len(licences.python_words(template)) - 1) * (200 - p) // p, []
+        for a in range(len(b)):
+            for z in range(a, min(len(b), a + longest)):
+                if b[a] in g and b[z] in g and 200 * (c := len(g & (n := set(b[a : z + 1])))) >= p * (len(n) + len(g)):
+                    good.append((-2 * c / (len(n) + len(g)), a, z))
+        kept = []
+        for d, a, z in sorted(good):
+            if all(z < x or y < a for _, x, y in kept):
+                kept.append((d, a, z))
+        out += [(k, a, z - a + 2, round(-d, 9)) for d, a, z in kept]
+    return sorted(out)
+
+
+def test_licences_in_whole_texts(spark, empty):
+    import textwrap
+
+    scan, rng = licences.TextScan(), random.Random(8)
+    whole, notice = dict(licences.WHOLE), dict(licences.TEMPLATES)
+    wrap = lambda s: textwrap.fill(s, 60)
+    cases = {1: ("MIT", f"Copyright (c) 2020 X\n\n{wrap(whole['MIT'])}"), 2: ("GPL-3.0", wrap(notice["GPL-3.0"])), 3: ("BSD-3-Clause", f"# {wrap(whole['BSD-3-Clause'])}")}
+    cases |= {4: ("MIT", "It is small. Released under the MIT License. See the manual for more."), 5: ("MIT", "Released under the MIT License. Copyright 2020 The Project Authors"), 6: ("ISC", wrap(whole["ISC"])), 7: ("GPL-2.0", wrap(dict(licences.OPENINGS)["GPL-2.0"]))}
+    rows = [(i, t) for i, (_, t) in cases.items()] + [(20, None), (21, ""), (22, "word"), (None, cases[4][1]), (4, cases[4][1])]
+    pool = " ".join(t for _, t in scan.templates[:6]).split()
+    rows += [(30 + i, " ".join(rng.choice(pool) if rng.random() < 0.15 else x for x in (notice["MIT"] + " and " + notice["CC-BY-4.0"] + " Released under the the MIT License").split() * 2)) for i in range(12)]
+    got = licences.scan_texts(spark.createDataFrame(rows, "doc_id long, text string"), scan).collect()
+    key = lambda i: -1 if i is None else i
+    true = sorted((key(i), *m) for i, t in rows for m in spans_by_brute_force(t, scan))
+    assert sorted((key(r.doc_id), r.template_no, r.word_no, r.n_words, round(r.dice, 9)) for r in got) == true
+    for i, (licence, _) in cases.items():
+        assert licence in {r.licence for r in got if r.doc_id == i}, i
+    assert not {20, 21, 22} & {r.doc_id for r in got} and licences.scan_texts(empty).count() == 0
+
+
 def padding(bounds, lengths):
     return sum(min(b for b in bounds if b >= n) - n for n in lengths)
 
