@@ -764,6 +764,12 @@ def _aliases(t: Tables, style: str = "natural") -> DataFrame:
     return counterfactual.alias_table(counterfactual.collect_spans(q, none), style)
 
 
+def _aliases_full(t: Tables, style: str = "natural") -> DataFrame:
+    """The table of all queries' passages, their answers, and all documents."""
+    q = t.queries.select("query_id", F.col("passage").alias("text"), "answers")
+    return counterfactual.alias_table(counterfactual.collect_spans(q, t.documents), style)
+
+
 @query(with_(SPANS, then="""SELECT source, type, CASE type
         WHEN 'PERSON' THEN ['Mira','Taren','Nora','Levan','Sorin','Alto','Kira','Varen','Milo','Celia'][(i - 1) % 10 + 1] || ' ' || ['Halden','Varos','Norwick','Talor','Merin','Caspel','Rovik','Selden','Maris','Dorin'][(i - 1) % 10 + 1]
         WHEN 'LOCATION' THEN CASE WHEN i % 2 = 1 THEN 'Lake ' ELSE 'Region ' END || ['Varos','Halden','Merrow','Calder','Lunor','Norwick','Tavren','Sorel'][(i - 1) % 8 + 1]
@@ -780,6 +786,18 @@ def alias_table_coded(t: Tables) -> DataFrame:
     return _aliases(t, "coded").select("source", "alias")
 
 
+@query()
+def alias_table_full(t: Tables) -> DataFrame:
+    """C1-C3, over all queries, answers and documents; alias_table has ASCII passages only, as its SQL."""
+    return _aliases_full(t).select("source", "type", "alias")
+
+
+@query()
+def alias_table_coded_full(t: Tables) -> DataFrame:
+    """F38, coded, over all queries, answers and documents."""
+    return _aliases_full(t, "coded").select("source", "alias")
+
+
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\bthat\b', 'Entity Varos-1', 'gi'), '\bthe\b', 'Thx', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[^ -~\n]')""")
 def renamed_docs(t: Tables) -> DataFrame:
     """A stated list of two aliases, over ASCII texts."""
@@ -788,23 +806,22 @@ def renamed_docs(t: Tables) -> DataFrame:
 
 
 def _renamed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    aliases = _aliases(t)
+    aliases = _aliases_full(t)
     return aliases, counterfactual.rename(t.queries.select("query_id", F.col("passage").alias("text"), "answers"), aliases, "query_id", ["text"], ["answers"])
 
 
 @query()
 def renamed_queries(t: Tables) -> DataFrame:
-    """The whole alias table."""
+    """The alias table of all queries, answers and documents."""
     return _renamed(t)[1].select("query_id", "text", F.array_join("answers", "|").alias("answers"), "original_text")
 
 
 @query()
 def counterfactual_validation(t: Tables) -> DataFrame:
-    """C8-C10."""
+    """All queries and documents renamed by the whole table, with the judgements."""
     aliases, q = _renamed(t)
-    docs = q.select(F.col("query_id").alias("doc_id"), "text", "original_text")
-    qrels = q.select("query_id", F.col("query_id").alias("doc_id"), F.lit(1).alias("grade"))
-    return counterfactual.validation(docs, q, qrels, aliases)
+    docs = counterfactual.rename(t.documents, aliases, "doc_id", ["text"])
+    return counterfactual.validation(docs, q, t.qrels, aliases)
 
 
 @query(with_(SPANS, "n AS (SELECT item_id AS query_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n FROM benchmark), s AS (SELECT source, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s FROM nu)", then="SELECT query_id, source FROM n JOIN s ON s <> '' AND contains(n, s)"))
@@ -813,6 +830,12 @@ def alias_mentions(t: Tables) -> DataFrame:
     return counterfactual.mentions(t.passages, _aliases(t), "query_id", "text")
 
 
+@query()
+def alias_mentions_full(t: Tables) -> DataFrame:
+    """J7, C10, with the alias table of all queries, answers and documents."""
+    return counterfactual.mentions(t.passages, _aliases_full(t), "query_id", "text")
+
+
 # -- across runs --------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom import queries
 from rankloom.functions import text as T
 from rankloom.operators import counterfactual, fusion, leakage, metrics, retrieval, stats
 from rankloom.plans import generation, methods, pipeline
@@ -182,3 +183,35 @@ def test_store_appends_only_missing(spark, tmp_path):
     store.append(row("a"))
     store.append(row("a").union(row("b")))
     assert store.read().count() == 2 and store.missing(row("b").union(row("c"))).count() == 1
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """A folder of tables with other alphabets, answers and names that stand in documents only."""
+    d = str(tmp_path_factory.mktemp("whole"))
+    docs = [(1, "Émile Zola met Ada Lovelace in Paris. It was in Paris."), (2, "Only Here University, naïve Köln \"Der Zauberberg\""), (3, None), (4, "plain text"), (5, "Varos saw ada lovelace; PARIS. Ana Ruiz de Mar Azul vio el Lago Verde y una casa")]
+    items = [(1, "Ana Ruiz de Mar Azul vio el Lago Verde y una casa"), (2, "Köln liegt am Rhein und Émile Zola war dort im Mai")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d, docs, items
+
+
+def _aliases_by_hand(docs, items):
+    runs = lambda s: [m for m in re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b", s or "") if len(m) >= 3]
+    return {x for _, s in docs + items for x in runs(s)} | {" ".join(s.split()[-4:]) for _, s in items} | {x for _, s in docs for x in re.findall(r'"([^"\n]{2,120})"', s or "")}
+
+
+def test_whole_alias_table(spark, whole):
+    d, docs, items = whole
+    table = queries.QUERIES["alias_table_full"](spark, d).collect()
+    assert {r.source for r in table} == _aliases_by_hand(docs, items)
+    assert {r.source for r in queries.QUERIES["alias_table_coded_full"](spark, d).collect()} == {r.source for r in table}
+    pairs = sorted(((r.source, r.alias) for r in table), key=lambda p: (-len(p[0]), p[0].lower(), p[0]))
+    for r in queries.QUERIES["renamed_queries"](spark, d).collect():
+        assert r.text == counterfactual.rename_text(dict(items)[r.query_id], pairs)
+    key = lambda s: " ".join(re.sub("[^a-z0-9]+", " ", s.lower()).split())
+    true = {(i, s) for i, text in items for s, _ in pairs if key(s) and key(s) in key(text)}
+    assert {tuple(r) for r in queries.QUERIES["alias_mentions_full"](spark, d).collect()} == true
+    (v,) = queries.QUERIES["counterfactual_validation"](spark, d).collect()
+    assert v.alias_count == len(pairs) and v.answerable_queries == 1
