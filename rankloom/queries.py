@@ -805,6 +805,12 @@ def renamed_docs(t: Tables) -> DataFrame:
     return docs.select("doc_id", counterfactual.rename_native(F.col("text"), [("that", "Entity Varos-1"), ("the", "Thx")]).alias("text"))
 
 
+@query()
+def renamed_docs_full(t: Tables) -> DataFrame:
+    """All documents by the alias table of all queries, answers and documents."""
+    return counterfactual.rename(t.documents, _aliases_full(t), "doc_id", ["text"]).select("doc_id", "text")
+
+
 def _renamed(t: Tables) -> tuple[DataFrame, DataFrame]:
     aliases = _aliases_full(t)
     return aliases, counterfactual.rename(t.queries.select("query_id", F.col("passage").alias("text"), "answers"), aliases, "query_id", ["text"], ["answers"])

@@ -215,3 +215,12 @@ def test_whole_alias_table(spark, whole):
     assert {tuple(r) for r in queries.QUERIES["alias_mentions_full"](spark, d).collect()} == true
     (v,) = queries.QUERIES["counterfactual_validation"](spark, d).collect()
     assert v.alias_count == len(pairs) and v.answerable_queries == 1
+
+
+def test_whole_corpus_renamed(spark, whole):
+    d, docs, _ = whole
+    table = queries.QUERIES["alias_table_full"](spark, d).collect()
+    pairs = sorted(((r.source, r.alias) for r in table), key=lambda p: (-len(p[0]), p[0].lower(), p[0]))
+    got = {r.doc_id: r.text for r in queries.QUERIES["renamed_docs_full"](spark, d).collect()}
+    assert got == {i: counterfactual.rename_text(s, pairs) for i, s in docs}
+    assert "Lovelace" not in got[1] and "lovelace" not in got[5] and got[3] is None and got[4] == "plain text"
