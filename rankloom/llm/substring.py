@@ -19,13 +19,16 @@ _GEAR = (randoms(31, 256) & np.uint64(0xFFFF)).astype(np.uint16)
 
 @dataclass(frozen=True)
 class Chunking:
-    """A byte is a cut candidate if its 16-bit gear value is under `below`; a candidate within `gap` bytes of another
-    before it is none. Both depend on the near bytes only, so chunks resist shifts from insertions. In the mean a chunk
-    has about 45 bytes. A run of repeated chunks is removed if it has at least `run` bytes."""
+    """A byte is a cut candidate if its 16-bit gear value is under `below`, or if none of the `reach` bytes before and after
+    it has a smaller one: text that repeats with a period and has no value under `below` is cut in every period. Of
+    candidates, the first is a cut and then the next that is `gap` bytes or more after the last cut: two copies of a text
+    fall in step where candidates are so far apart, so chunks resist shifts from insertions. In the mean a chunk has about
+    33 bytes. A run of repeated chunks is removed if it has at least `run` bytes."""
 
     below: int = 1 << 12
     gap: int = 16
     run: int = 100
+    reach: int = 64
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -36,31 +39,51 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _values(data: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The gear value that decides on a cut before each of the bytes a to b; the greatest where a character continues."""
+    lo = max(0, a - WINDOW)
+    h = gear(data[lo : b - 1])[a - 1 - lo :]
+    return np.where((data[a:b] & 0xC0) != 0x80, h, np.uint16(0xFFFF))
+
+
+def _minima(data: np.ndarray, a: int, b: int, reach: int) -> np.ndarray:
+    """Places from a to b whose value is the least of the reach places before and after them, all of which exist."""
+    found = []
+    for lo in range(max(a, WINDOW + reach), min(b, len(data) - reach), SLICE_BYTES):
+        hi = min(lo + SLICE_BYTES, b, len(data) - reach)
+        v = _values(data, lo - reach, hi + reach)
+        least, span = v, 1
+        while span < 2 * reach + 1:  # the least of the span values from each place on, by doubling
+            step = min(span, 2 * reach + 1 - span)
+            least, span = np.minimum(least[:-step], least[step:]), span + step
+        found.append(np.flatnonzero((v[reach:-reach] == least) & (least < 0xFFFF)) + lo)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def cuts(data: np.ndarray, c: Chunking) -> np.ndarray:
     """Ends of the chunks of one text, the text's end included; a cut never parts a UTF-8 character."""
     if len(data) <= WINDOW:
         return np.array([len(data)] if len(data) else [], np.int64)
-    at = np.flatnonzero(gear(data)[WINDOW - 1 : -1] < c.below) + WINDOW
-    at = at[(data[at] & 0xC0) != 0x80]
-    if len(at):
-        at = at[np.concatenate([[True], np.diff(at) >= c.gap])]
-    return np.append(at, len(data))
+    at = np.concatenate([np.flatnonzero(_values(data, a, min(a + SLICE_BYTES, len(data))) < c.below) + a for a in range(WINDOW, len(data), SLICE_BYTES)])
+    edges = np.concatenate([[WINDOW - 1], at, [len(data)]])
+    wide = np.flatnonzero(np.diff(edges) > c.reach)  # no place nearer to a candidate than reach is a minimum
+    more = [m for i in wide if len(m := _minima(data, int(edges[i]) + 1, int(edges[i + 1]), c.reach))]
+    if more:
+        at = np.sort(np.concatenate([at, *more]))
+    kept, last = [], -c.gap
+    for x in at.tolist():
+        if x - last >= c.gap:
+            kept.append(x)
+            last = x
+    return np.array([*kept, len(data)], np.int64)
 
 
 def chunks(data: np.ndarray, c: Chunking) -> tuple[np.ndarray, np.ndarray]:
-    """Ends and 64-bit digests of a text's chunks. A text over a slice is taken in slices that overlap by the window."""
+    """Ends and 64-bit digests of a text's chunks. A text over a slice is taken in slices."""
     if len(data) <= 2 * SLICE_BYTES:
         ends = cuts(data, c)
         return ends, range_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64)
-    found = []
-    for a in range(0, len(data), SLICE_BYTES):
-        lo, hi = max(0, a - WINDOW + 1), min(a + SLICE_BYTES, len(data) - 1)
-        at = np.flatnonzero(gear(data[lo:hi])[a - lo if a else WINDOW - 1 :] < c.below) + (a if a else WINDOW - 1) + 1
-        found.append(at[(data[at] & 0xC0) != 0x80])
-    at = np.concatenate(found)
-    if len(at):
-        at = at[np.concatenate([[True], np.diff(at) >= c.gap])]
-    ends = np.append(at, len(data))
+    ends = cuts(data, c)
     starts = np.concatenate([[0], ends[:-1]])
     out, i = [], 0
     while i < len(ends):

@@ -154,6 +154,26 @@ def test_chunks_resist_insertions_and_slices(monkeypatch):
     assert (sliced[0] == whole[0]).all() and (sliced[1] == whole[1]).all()
 
 
+def test_repeated_lines_are_cut_and_removed(spark):
+    rng, c = random.Random(9), substring.Chunking()
+    for period in (1, 2, 6, 12, 15, 16, 20, 30, 45, 60, 100):
+        for _ in range(20):
+            line = ("".join(rng.choice("abcdefgh ") for _ in range(period)) + "\n")[-period:]
+            before, n = len(words(rng, 40)), max(60, 800 // period)
+            text = (words(rng, 40) + line * n + words(rng, 40)).encode()
+            ends = substring.cuts(np.frombuffer(text, np.uint8), c)
+            inside = ends[(ends > before) & (ends < before + period * n)]
+            assert np.diff(inside).max() <= 2 * c.reach + 2 * period + c.gap, (period, inside)
+    rows = []
+    for period in (6, 12, 20, 30, 45, 60):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(period))
+        rows += [(2 * period + k, words(rng, 60) + line * 60 + words(rng, 60)) for k in (0, 1)]
+    got = {r.doc_id: r for r in substring.deduplicate_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        if i % 2:
+            assert got[i].removed_chars >= 0.6 * 60 * (i // 2), i
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(2)
     alphabets = {k: [("".join(rng.choice(letters) for _ in range(7))) for _ in range(40)] for k, letters in (("aa", "abcdefgh"), ("bb", "opqrstuv"))}
