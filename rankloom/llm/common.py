@@ -17,37 +17,79 @@ TEXT_ROWS = 500
 SLICE_BYTES = 1 << 20
 
 
-def tune(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bounds what one Arrow batch holds, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, by rows and by bytes; the same for all operators, as plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session, and a cluster's session is refused: its executors
+    would write where no other can read.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def write_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rankloom_path = path
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes a table of write_table() that nothing reads any more."""
-    path, spark = getattr(df, "_rankloom_path", None), df.sparkSession
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def table_at(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, which reads source only, as the one to drop source by."""
+    df._rankloom_path = getattr(source, "_rankloom_path", None)
+    return df
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Removes tables of write_table() that nothing reads any more."""
+    for df in tables:
+        path, spark = getattr(df, "_rankloom_path", None), df.sparkSession
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def with_made(df: DataFrame, made: Column, names: list[str], replace: dict[str, Column | str] | None = None) -> DataFrame:
+    """df with the fields `names` of a struct column, which replace columns of df with these names (in any case of letters).
+
+    replace: columns of df to give another value, by the name of a field. The struct is computed once.
+    """
+    gone, swap = {n.lower() for n in names}, replace or {}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    (own,) = fresh(df, "made")
+    rows = df.select(*[quoted(c) for c in kept], made.alias(own))
+    return rows.select(*[F.col(own)[swap[c]].alias(c) if c in swap else quoted(c) for c in kept], *(F.col(own)[n].alias(n) for n in names))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:

@@ -111,13 +111,13 @@ def build_index(history: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A slot holds the full digest, the winning id and the number of rows. Buckets hold distinct digests, which spread
     evenly, so none is hot. An empty history gives an empty index.
     """
-    tune(history.sparkSession, 5000)
+    tune(history.sparkSession)
     return write_table(grouped_arrow(_bucketed(digest_groups(history, id_col, text_col), buckets), ["bucket"], _build, _INDEX), "mph")
 
 
 def probe_index(index: DataFrame, incoming: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1) -> DataFrame:
     """(digest, winner, n, member) for each distinct text of incoming; nonmembers are grouped among themselves."""
-    tune(incoming.sparkSession, 5000)
+    tune(incoming.sparkSession)
     none = {c: F.lit(None).cast(t) for c, t in index.dtypes if c != "bucket"}
     new = _bucketed(digest_groups(incoming, id_col, text_col), buckets).withColumns(none | {"is_index": F.lit(0)})
     old = index.withColumns({"digest": F.lit(None).cast("binary"), "winner": F.lit(None).cast("long"), "n": F.lit(None).cast("long"), "is_index": F.lit(1)}).select(new.columns)

@@ -181,7 +181,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spanning links, not pairs, so what they return grows with the rows. A pair counts in the first leaf that both share.
     """
     spark = df.sparkSession
-    tune(spark, 2000)
+    tune(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = write_table(rows.where("id is not null and label is not null and v is not null").mapInArrow(_prepare(), "id long, label string, dim long, raw binary, vec binary"), "vectors")
     classes = usable.groupBy("label", "dim", "raw").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("vec").alias("vec"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,19 +22,14 @@ BLOCK, SET_BLOCK, SETS = 512, 256, 1 << 20
 class HammingIndex:
     """A signature of `symbols` b-bit (16) MinHash values, split into `chunks`; one wrong symbol is allowed in each chunk.
 
-    By the pigeonhole principle two signatures that differ in at most 2 * chunks - 1 symbols have a chunk with at most
-    one difference, so they agree on one of that chunk's keys that leave one symbol out: all pairs up to `reach` share a key.
-    With 64 symbols in 13 chunks the reach is 25; a pair of similarity 0.8 differs in 12.8 symbols in the mean (standard
-    deviation 3.2), and beyond the reach it still shares a key but for one pair in 10^7.
-
-    Of the pairs that share a key those go on to the full sets that differ in at most `distance` of `estimate` 8-bit
-    values: 83 of 256 is 5 deviations above the mean of a pair of similarity 0.8.
+    By the pigeonhole principle two signatures that differ in at most 2 * chunks - 1 symbols have a chunk with at most one
+    difference, so they agree on one of that chunk's keys that leave one symbol out: all pairs within `reach` share a key,
+    and all pairs within `reach` go on to the full sets. With 96 symbols in 20 chunks the reach is 39; a pair of similarity
+    0.8 differs in 19.2 symbols in the mean (standard deviation 3.9) and is beyond the reach in one case of a million.
     """
 
-    symbols: int = 64
-    chunks: int = 13
-    estimate: int = 256
-    distance: int = 83
+    symbols: int = 96
+    chunks: int = 20
 
     @property
     def reach(self) -> int:
@@ -65,19 +61,17 @@ def minhash(items: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def _signatures(shingle: int, index: HammingIndex):
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("est", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         for rows in batches:
-            n, cls, sig, est = [], [], [], []
+            n, cls, sig = [], [], []
             for words in texts_words(rows.column(1)):
                 items = shingle_set(words, shingle)
-                values = minhash(items, max(index.symbols, index.estimate)) if len(items) else None
                 n.append(len(items))
                 cls.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                sig.append(values[: index.symbols].tobytes() if len(items) else None)
-                est.append(values[-index.estimate :].astype(np.uint8).tobytes() if len(items) else None)
-            yield batch(schema, rows.column(0), n, cls, sig, est)
+                sig.append(minhash(items, index.symbols).tobytes() if len(items) else None)
+            yield batch(schema, rows.column(0), n, cls, sig)
 
     return run
 
@@ -94,8 +88,8 @@ def _key_rows(index: HammingIndex):
     return run
 
 
-def _estimates(column) -> np.ndarray:
-    return utf8(column)[0].reshape(len(column), -1)
+def _symbols(column) -> np.ndarray:
+    return utf8(column)[0].view("<u2").reshape(len(column), -1)
 
 
 def _close(index: HammingIndex):
@@ -104,7 +98,7 @@ def _close(index: HammingIndex):
     def run(batches):
         for rows in batches:
             if rows.num_rows:
-                near = np.flatnonzero((_estimates(rows.column(2)) != _estimates(rows.column(3))).sum(axis=1) <= index.distance)
+                near = np.flatnonzero((_symbols(rows.column(2)) != _symbols(rows.column(3))).sum(axis=1) <= index.reach)
                 yield batch(schema, rows.column(0).to_numpy()[near], rows.column(1).to_numpy()[near])
 
     return run
@@ -161,28 +155,32 @@ def _sizes_allow(n: np.ndarray, left: np.ndarray, right: np.ndarray, part: int,
     return whole * np.minimum(n[left][:, None], n[right][None, :]) >= part * np.maximum(n[left][:, None], n[right][None, :])
 
 
+def _components_met(near: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links between the components that the matrix near connects, as many as span them."""
+    i, j = _spanning(near, left, right, len(comp))
+    links = np.unique(np.stack([comp[i], comp[j]]), axis=1)
+    links = links[:, links[0] != links[1]]
+    if links.size:
+        yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), links[0], links[1])
+
+
 def _cross(index: HammingIndex, part: int, whole: int):
-    """Spanning links between clusters that meet in a block of a bucket and a block of its rows outside the main cluster."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Which components have close pairs in a block of a bucket and a block of its rows outside the main component."""
 
     def fn(table: pa.Table):
-        rep, comp, other, n = (table.column(k).to_numpy() for k in ("rep", "comp", "other", "n_shingles"))
-        est = _estimates(table.column("est"))
+        comp, other, n = (table.column(k).to_numpy() for k in ("comp", "other", "n_shingles"))
+        sig = _symbols(table.column("sig"))
         left, right = np.flatnonzero(other == 0), np.flatnonzero(other == 1)
         near = (comp[left][:, None] != comp[right][None, :]) & _sizes_allow(n, left, right, part, whole)
         for k in range(0, len(left), 16):
-            near[k : k + 16] &= (est[left[k : k + 16]][:, None, :] != est[right][None, :, :]).sum(axis=2) <= index.distance
-        i, j = _spanning(near, left, right, len(rep))
-        keep = rep[i] != rep[j]
-        if keep.any():
-            yield batch(schema, rep[i[keep]], rep[j[keep]])
+            near[k : k + 16] &= (sig[left[k : k + 16]][:, None, :] != sig[right][None, :, :]).sum(axis=2) <= index.reach
+        yield from _components_met(near, left, right, comp)
 
     return fn
 
 
 def _exact(part: int, whole: int):
-    """Spanning links of a block of a cluster and a block of its rows outside the main component, by full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Which components have linked pairs in a block of a cluster and a block of its rows outside the main one, by full sets."""
 
     def fn(table: pa.Table):
         rep, other, comp = (table.column(k).to_numpy() for k in ("rep", "other", "comp"))
@@ -205,28 +203,30 @@ def _exact(part: int, whole: int):
             common += x @ y.T
         near = whole * common >= part * (n[left][:, None] + n[right][None, :] - common)
         near &= comp[left][:, None] != comp[right][None, :]
-        i, j = _spanning(near, left, right, len(rep))
-        keep = rep[i] != rep[j]
-        if keep.any():
-            yield batch(schema, rep[i[keep]], rep[j[keep]])
+        yield from _components_met(near, left, right, comp)
 
     return fn
 
 
-def _dealt(rows: DataFrame, group: str, block: int, weight: str | None = None) -> DataFrame:
-    """rows (group, rep, comp, ...) of the groups that hold several components, as (group, i, j, other, ...): every row, in
-    blocks, meets the blocks of the rows outside the group's largest component (other = 1). Blocks hold about `block` rows,
-    and `SETS` of weight."""
+def _blocks(rows: DataFrame, group: str, block: int, weight: str | None = None) -> DataFrame:
+    """For the groups of rows (group, rep, comp, ...) that hold several components: the largest component, and into how many
+    blocks all rows and those outside it go. Blocks hold about `block` rows, and `SETS` of weight."""
     w = F.sum(F.col(weight) if weight else F.lit(0))
     sizes = rows.groupBy(group, "comp").agg(F.count("*").alias("c"), w.alias("w"))
-    mixed = sizes.groupBy(group).agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("k > 1")
+    mixed = sizes.groupBy(group).agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("main")).where("k > 1")
     per = F.greatest(F.lit(1.0), F.lit(float(block)) if weight is None else F.least(F.lit(float(block)), F.lit(float(SETS)) * F.col("c") / F.greatest("w", F.lit(1))))
-    blocks = mixed.select(group, "main", F.ceil(F.col("c") / per).cast("long").alias("nb"), F.ceil((F.col("c") - F.col("most")) / per).cast("long").alias("ob"))
+    return mixed.select(group, F.col("main.comp").alias("main"), F.ceil(F.col("c") / per).cast("long").alias("nb"), F.ceil((F.col("c") - F.col("main.c")) / per).cast("long").alias("ob"))
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, group: str) -> DataFrame:
+    """rows of the groups in blocks as (group, i, j, other, ...): every row, in blocks, meets the blocks of the rows outside
+    the group's largest component (other = 1)."""
     met = rows.join(blocks, group).withColumn("h", F.xxhash64("rep"))
     zero = F.lit(0).cast("long")
-    every = met.withColumn("i", F.pmod("h", "nb")).withColumn("j", F.explode(F.sequence(zero, F.col("ob") - 1))).withColumn("other", F.lit(0))
-    outer = met.where("comp <> main").withColumn("j", F.pmod("h", "ob")).withColumn("i", F.explode(F.sequence(zero, F.col("nb") - 1))).withColumn("other", F.lit(1))
-    return every.unionByName(outer).drop("h", "nb", "ob", "main")
+    every = F.transform(F.sequence(zero, F.col("ob") - 1), lambda j: F.struct(F.pmod("h", "nb").alias("i"), j.alias("j"), F.lit(0).alias("other")))
+    outer = F.transform(F.sequence(zero, F.col("nb") - 1), lambda i: F.struct(i.alias("i"), F.pmod("h", "ob").alias("j"), F.lit(1).alias("other")))
+    places = F.when(F.col("comp") != F.col("main"), F.concat(every, outer)).otherwise(every)
+    return met.withColumn("at", F.explode(places)).select(*rows.columns, "at.*")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, index: HammingIndex = HammingIndex()) -> DataFrame:
@@ -235,51 +235,71 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns a row for each row: id_col, n_shingles, component_id (the smallest id reachable), kept (id = component_id).
 
     Nulls: a null text is empty. Texts without words link with nothing and stay. A row with a null id links with nothing,
-    has a null component and stays. Rows that share an id count as one document, whose texts link with each other.
-    Equal sets are one class, so copies and ties cost one row each. An empty table gives an empty result. Other columns
-    are not read. Texts may be of any length; A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+.
+    has a null component and stays. Rows that share an id and a text have one result; of rows that share an id but not a
+    text each takes the component of its own text, and texts with one smallest id count as one. Equal sets are one class,
+    so copies and ties cost one row each. An empty table gives an empty result. Other columns are not read. Texts may be
+    of any length; A-Z is lower-cased, words are [^\\x20\\x09-\\x0D]+. Sets hold 64-bit hashes of shingles.
 
     Plan: (1) one pass over the texts for signatures, written to the shared folder; (2) a class for each distinct set;
-    (3) keys of the multi-index; each row of a bucket is paired with the bucket's smallest id only, and close pairs form
-    clusters; (4) where several clusters meet in a bucket, its rows outside the largest one meet all its rows, and what
-    connects close pairs joins the clusters: all pairs that share a key and are close are now in one cluster, and a row
-    is in one only; (5) a second pass over the texts of clusters builds full sets; the pairs of (3) are confirmed;
-    (6) in clusters that still hold several components, the rows outside the largest one meet all others by full sets.
-    Rows meet in blocks of BLOCK (SET_BLOCK) rows; blocks return links that span what they found, so nothing grows with
-    the square of a group but the comparisons themselves, and no group is cut.
+    (3) keys of the multi-index; each row of a bucket is paired with the bucket's smallest id only; (4) pairs within the
+    reach are confirmed on full sets, and their components are found once; (5) where several components meet in a bucket,
+    its rows outside the largest one meet all its rows, and components with a pair within the reach form clusters: all
+    pairs that share a key and are within the reach are now in one component or in one cluster; (6) in a cluster, which
+    no row has two of, the rows outside the largest component meet all others by full sets, and components with a linked
+    pair are united. So all pairs within the reach are decided on full sets.
+
+    Rows meet in blocks of BLOCK (SET_BLOCK) rows, and blocks return the components that they connect, never pairs.
+    A block's rows go to each block that they meet: in a group whose largest component leaves out m of its n rows, n * m
+    comparisons are made, and n * m / BLOCK rows move. No group is cut. Where no bucket holds several components steps
+    (5) and (6) end at once.
     """
     spark = df.sparkSession
     tune(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = write_table(docs.mapInArrow(_signatures(shingle, index), "id long, n_shingles long, cls binary, sig binary, est binary"), "signatures")
-    reps = write_table(sig.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "est")]), "classes")
+    sig = write_table(docs.mapInArrow(_signatures(shingle, index), "id long, n_shingles long, cls binary, sig binary"), "signatures")
+    reps = write_table(sig.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig")]), "classes")
     keys = reps.select("rep", "sig").mapInArrow(_key_rows(index), "key long, rep long")
     multi = write_table(keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head <> last"), "buckets")
     members = write_table(keys.join(multi.select("key", "head", "n"), "key").select("key", "rep", "head", "n"), "members")
-    drop_table(multi)
 
-    own = reps.select("rep", "n_shingles", "est")
+    own = reps.select("rep", "n_shingles", "sig")
     stars = members.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.lit(1)).select("a", "b")
     stars = stars.join(own.toDF("a", "m", "x"), "a").join(own.toDF("b", "n", "y"), "b").where(f"{whole} * least(m, n) >= {part} * greatest(m, n)")
     pairs = write_table(stars.select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long"), "pairs")
-    cluster = write_table(connected_components(pairs), "clusters")
-    labelled = members.where("n > 2").join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    work = _dealt(labelled, "key", BLOCK).join(own, "rep")
-    crossing = grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole), "a long, b long").distinct()
-    cluster = write_table(connected_components(pairs.unionByName(crossing)), "clusters").toDF("rep", "cluster")
-    drop_table(members)
-
-    sets = docs.join(cluster.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items binary")
-    sets = write_table(sets, "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return write_table(docs.join(ids.toDF("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items binary").toDF("rep", "items"), "sets")
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b"))))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    edges = write_table(both.mapInArrow(_confirmed(part, whole), "a long, b long"), "edges")
-    comp = write_table(connected_components(edges), "labels").toDF("rep", "component")
-    within = cluster.join(comp, "rep", "left").join(reps.select("rep", "n_shingles"), "rep").select("cluster", "rep", F.coalesce("component", "rep").alias("comp"), "n_shingles")
-    work = _dealt(within, "cluster", SET_BLOCK, "n_shingles").join(sets.toDF("rep", "items"), "rep")
-    more = write_table(grouped_arrow(work, ["cluster", "i", "j"], _exact(part, whole), "a long, b long").distinct(), "edges")
-    comp = write_table(connected_components(edges.unionByName(more)), "labels")
-    for t in (pairs, sets, edges, more):
-        drop_table(t)
-    classes = reps.select("cls", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
+    comp = connected_components(both.mapInArrow(_confirmed(part, whole), "a long, b long"), "components").withColumnRenamed("node", "rep")
+    labelled = write_table(members.where("n > 2").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "labelled")
+    blocks = write_table(_blocks(labelled, "key", BLOCK), "blocks")
+    drop_table(multi, members, pairs, sets)
+    united = None
+    if not blocks.isEmpty():
+        work = _dealt(labelled, blocks, "key").join(own, "rep")
+        near = connected_components(grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole), "a long, b long"), "near")
+        if not near.isEmpty():
+            united = _united(near.toDF("comp", "cluster"), comp, reps, sets_of, part, whole)
+        drop_table(near)
+    drop_table(labelled, blocks)
+    classes = reps.select("cls", "rep").join(comp, "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
+    if united is not None:
+        classes = classes.join(united.toDF("c", "into"), "c", "left").select("cls", F.coalesce("into", "c").alias("c"))
     out = sig.select("id", "n_shingles", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _united(near: DataFrame, comp: DataFrame, reps: DataFrame, sets_of, part: int, whole: int) -> DataFrame:
+    """(component, the component that it goes into), from clusters (comp, cluster) of components, by full sets."""
+    clusters = near.unionByName(near.select(F.col("cluster").alias("comp"), "cluster").distinct())
+    rest = comp.join(clusters, F.col("component") == F.col("comp")).select("rep", "comp", "cluster")
+    members = clusters.select(F.col("comp").alias("rep"), "comp", "cluster").unionByName(rest)
+    within = write_table(members.join(reps.select("rep", "n_shingles"), "rep"), "within")
+    sets = sets_of(within.select("rep"))
+    blocks = write_table(_blocks(within, "cluster", SET_BLOCK, "n_shingles"), "blocks")
+    work = _dealt(within.drop("n_shingles"), blocks, "cluster").join(sets, "rep")
+    out = connected_components(grouped_arrow(work, ["cluster", "i", "j"], _exact(part, whole), "a long, b long"), "united")
+    drop_table(within, sets, blocks)
+    return out
