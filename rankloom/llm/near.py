@@ -15,7 +15,7 @@ from .common import batch, drop_table, grouped_arrow, mix, randoms, shingle_set,
 from .components import connected_components
 
 #: Rows of a block where a bucket's rows are compared by signatures, and a cluster's by full sets of SETS shingles in all.
-BLOCK, SET_BLOCK, SETS = 512, 256, 1 << 20
+BLOCK, SET_BLOCK, SETS = 512, 96, 1 << 20
 
 
 @dataclass(frozen=True)
