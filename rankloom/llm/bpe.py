@@ -10,15 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import quoted, tune, with_made
 
-#: Bytes of text handed to the library at once: it holds about a hundred bytes for each token of a call.
-CALL_BYTES = 1 << 18
-#: Pieces and units of text whose ids a worker remembers, and the length of the longest that it does.
-CACHE, KEPT_CHARS = 400_000, 40
+#: Characters of text handed to the library at once: it holds about a hundred bytes for each token of a call.
+CALL_CHARS = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -66,16 +64,11 @@ class Codec:
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
         parsed = json.loads(spec)
-        self.pattern = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        chars = byte_characters()
-        self.to_chars = dict(enumerate(chars))
-        of = {c: b for b, c in enumerate(chars)}
+        of = {c: b for b, c in enumerate(byte_characters())}
         vocab = parsed["model"]["vocab"]
         table: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
         for word, rank in vocab.items():
@@ -83,8 +76,6 @@ class Codec:
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.begin = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, spec: str) -> Codec:
@@ -93,62 +84,32 @@ class Codec:
             cls._made[key] = cls(spec)
         return cls._made[key]
 
-    def _merged(self, text: str) -> bytes:
-        """Ids of text as bytes: each match of the pattern, its bytes mapped to characters, goes through the library's merges."""
-        out = []
-        for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                mapped = piece.encode().decode("latin-1").translate(self.to_chars)
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                if len(piece) <= KEPT_CHARS:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text; null is empty.
-
-        No match of a byte-level pattern goes over a single space between two other characters, but that space begins
-        the next match. So a text falls into independent units there, and the ids of frequent units are remembered.
-        """
-        if not text:
-            return np.zeros(0, "<u4")
-        first, *rest = text.split(" ")
-        units = self.units
-        if not first or first[-1].isspace() or not all(rest):
-            return np.frombuffer(self._merged(text), "<u4")
-        for unit in set(rest).difference(units):
-            if unit[0].isspace() or unit[-1].isspace():
-                return np.frombuffer(self._merged(text), "<u4")
-        out = [self._merged(first)]
-        try:
-            out.extend(map(units.__getitem__, rest))
-        except KeyError:
-            if len(units) >= CACHE:
-                units.clear()
-            known: dict[str, bytes] = {}
-            for unit in set(rest).difference(units):
-                known[unit] = self._merged(" " + unit)
-                if len(unit) <= KEPT_CHARS and len(units) < CACHE:
-                    units[unit] = known[unit]
-            del out[1:]
-            out.extend(units[u] if u in units else known[u] for u in rest)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def encode_offsets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and character offsets (n, 2), by the library alone."""
-        part, size = [], 0
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, by the library; a null text is empty. Texts go to the library in calls of CALL_CHARS or one text."""
+        part: list[str] = []
+        size = 0
         for i, text in enumerate(texts):
             part.append(text or "")
             size += len(part[-1])
-            if size >= CALL_BYTES or i + 1 == len(texts):
-                for e in self.tokenizer.encode_batch(part, add_special_tokens=False):
-                    yield np.array(e.ids, "<u4"), np.array(e.offsets, np.int64).reshape(-1, 2)
+            if size >= CALL_CHARS or i + 1 == len(texts):
+                for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                    yield np.array(e.ids, "<u4")
                 part, size = [], 0
 
+    def offsets(self, ids: np.ndarray, text: str | None) -> np.ndarray:
+        """(n, 2): the characters of text that each id touches, from the first to after the last.
+
+        An id's bytes are known, and so is the character that each byte of the text belongs to; an id that holds a part of
+        a character has the whole character, as the library gives it.
+        """
+        if not len(ids):
+            return np.zeros((0, 2), np.int64)
+        stop = np.cumsum(self.lengths[ids])
+        start = stop - self.lengths[ids]
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        return np.stack([char[start], char[stop - 1] + 1], axis=1)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids; a character split over tokens is whole again in the bytes. Unknown ids raise IndexError."""
         ids = ids.astype(np.int64)
@@ -179,12 +140,14 @@ def encode(df: DataFrame, spec: str, text_col: str = "text", offsets: bool = Fal
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(shared.value)
         for t in texts:
-            found = list(codec.encode_offsets(t.to_pylist())) if offsets else [(codec.encode(x), None) for x in t.to_pylist()]
-            ids = pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32()))
-            at = [pa.array([None if o is None else o[:, k] for _, o in found], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.StructArray.from_arrays([ids, *at], ["ids", "starts", "ends"])
+            own = t.to_pylist()
+            found = list(codec.encode(own))
+            at = [codec.offsets(x, text) if offsets else None for x, text in zip(found, own)]
+            ids = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
+            ends = [pa.array([None if o is None else o[:, k] for o in at], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.StructArray.from_arrays([ids, *ends], ["ids", "starts", "ends"])
 
-    return _add(df, run(F.col(text_col).cast("string")), ["ids", "starts", "ends"] if offsets else ["ids"])
+    return with_made(df, run(quoted(text_col).cast("string")), ["ids", "starts", "ends"] if offsets else ["ids"])
 
 
 def decode(df: DataFrame, spec: str, ids_col: str = "ids") -> DataFrame:
@@ -200,25 +163,24 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids") -> DataFrame:
             text = [None if x is None else x.decode("utf-8", "replace") for x in raw]
             yield pa.StructArray.from_arrays([pa.array(raw, pa.binary()), pa.array(text, pa.string())], ["decoded", "decoded_text"])
 
-    return _add(df, run(F.col(ids_col)), ["decoded", "decoded_text"])
+    return with_made(df, run(quoted(ids_col)), ["decoded", "decoded_text"])
 
 
 def digest(df: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encodes and decodes in one pass, without moving the ids."""
+    """df with n_tokens, ids_sha256, decoded_sha256 and offsets_sha256: encodes and decodes in one pass, without moving the
+    ids. offsets_sha256 is of the (start, end) character offsets as little-endian unsigned 32-bit integers, in turn."""
     tune(df.sparkSession)
     shared = _shared(df, spec)
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "offsets_sha256": pa.string()}
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(shared.value)
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for t in texts:
-            rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()) for ids in map(codec.encode, t.to_pylist())]
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _add(df, run(F.col(text_col).cast("string")), ["n_tokens", "ids_sha256", "decoded_sha256"])
-
+            own = t.to_pylist()
+            rows = [(len(ids), sha(ids.tobytes()), sha(codec.decode(ids)), sha(codec.offsets(ids, text).astype("<u4").tobytes())) for ids, text in zip(codec.encode(own), own)]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-def _add(df: DataFrame, made: Column, names: list[str]) -> DataFrame:
-    kept = [F.col(c) for c in df.columns if c not in names]
-    return df.select(*kept, made.alias("__made")).select(*kept, *(F.col("__made")[n].alias(n) for n in names))
+    return with_made(df, run(quoted(text_col).cast("string")), list(kinds))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 class Template:
     """turn_open + role + text_open + text + turn_close for each turn; loss on the texts of loss_roles.
 
-    control: strings that never stand unescaped inside a role or text; the three marks are among them.
+    control: strings that never stand unescaped inside a role or text; the three marks are among them. None may end as it
+    or another begins (`aba` does), and no mark may hold another, so that what is formatted reads back in one way only.
     transitions: the state machine, from state to {role: next state}; a conversation is valid if every turn has a
     transition and the last state is final.
     """
@@ -37,6 +38,12 @@ class Template:
             raise ValueError("the template's marks must be control strings")
         if any("\\" in c or len(c) < 2 for c in self.control):
             raise ValueError("control strings hold no backslash and at least two characters")
+        for a in self.control:
+            if any(a[k:] == b[: len(a) - k] for b in self.control for k in range(1, len(a)) if len(a) - k < len(b)):
+                raise ValueError(f"a control string ends as one begins, so that its place in a text is not told: {a!r}")
+        marks = (self.turn_open, self.text_open, self.turn_close)
+        if any(a in b for i, a in enumerate(marks) for j, b in enumerate(marks) if i != j):
+            raise ValueError("no mark of the template may hold another")
 
 
 #: A state of no way back.

@@ -188,30 +188,32 @@ def randoms(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = randoms(11, 256)
-_POW: list[np.ndarray] = []
+#: Two odd bases, and a table of bytes for each: together they make 128-bit hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = (_BYTE, randoms(13, 256))
+_POW: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int) -> list[np.ndarray]:
     """Powers of an odd number modulo 2^64, and of its inverse."""
-    if not _POW or len(_POW[0]) < n:
+    if base not in _POW or len(_POW[base][0]) < n:
         size = max(n, SLICE_BYTES + 1)
-        base = 0x9E3779B97F4A7C15 | 1
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _POW[:] = out
-    return _POW[0], _POW[1]
+        _POW[base] = out
+    return _POW[base]
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hashes of data[starts:ends], equal for equal bytes wherever they stand."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of data[starts:ends], equal for equal bytes wherever they stand; which: of two independent ones."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(data) + 1)
+    p, q = powers(len(data) + 1, BASES[which])
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * p[: len(data)], out=total[1:])
+    np.cumsum(_BYTES[which][data] * p[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -221,21 +223,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each row, A-Z lower-cased, and the rows' offsets among them. Words: [^\\x20\\x09-\\x0D]+."""
+def space_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words [^\\x20\\x09-\\x0D]+ of rows of bytes start and end; a word ends with its row."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
-    gap = _SPACE[low]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = _SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     begin = ~gap
     begin[1:] &= gap[:-1] | first[1:-1]
     end = ~gap
     end[:-1] &= gap[1:] | first[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return range_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row, A-Z lower-cased, and the rows' offsets among them. Words: [^\\x20\\x09-\\x0D]+."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = space_runs(data, offsets)
+    return range_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def texts_words(column: pa.Array) -> Iterator[np.ndarray]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, grouped_arrow, mix, randoms, tune, utf8, write_table
+from .common import batch, drop_table, fresh, grouped_arrow, mix, quoted, randoms, tune, utf8, write_table
 
 #: Digests that one bucket of the index holds in the mean: a bucket is built and probed by one task at a time.
 BUCKET = 4096
@@ -99,27 +99,33 @@ def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
-def digest_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, winner, n): a row for each distinct text, pre-aggregated before the shuffle; a null text is empty."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("digest"))
+def digests(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(id, digest, *more): SHA-256 of each text, a null one being empty, and NO_ID for a null id."""
+    return df.select(F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID)).alias("id"), _digest(text_col).alias("digest"), *more)
+
+
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(quoted(text_col).cast("string"), F.lit("")), 256))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(digest, winner, n): a row for each distinct text, pre-aggregated before the shuffle."""
     return rows.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
 
 
-def build_index(history: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1) -> DataFrame:
-    """The index of a history: a row for each bucket of digests, with the minimal perfect hash and its slots.
+def build_index(history: DataFrame, buckets: int = 1) -> DataFrame:
+    """The index of a history (id, digest): a row for each bucket of digests, with the minimal perfect hash and its slots.
 
     A slot holds the full digest, the winning id and the number of rows. Buckets hold distinct digests, which spread
     evenly, so none is hot. An empty history gives an empty index.
     """
-    tune(history.sparkSession)
-    return write_table(grouped_arrow(_bucketed(digest_groups(history, id_col, text_col), buckets), ["bucket"], _build, _INDEX), "mph")
+    return write_table(grouped_arrow(_bucketed(_groups(history), buckets), ["bucket"], _build, _INDEX), "mph")
 
 
-def probe_index(index: DataFrame, incoming: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1) -> DataFrame:
-    """(digest, winner, n, member) for each distinct text of incoming; nonmembers are grouped among themselves."""
-    tune(incoming.sparkSession)
+def probe_index(index: DataFrame, incoming: DataFrame, buckets: int = 1) -> DataFrame:
+    """(digest, winner, n, member) for each distinct text of incoming (id, digest); nonmembers are grouped by themselves."""
     none = {c: F.lit(None).cast(t) for c, t in index.dtypes if c != "bucket"}
-    new = _bucketed(digest_groups(incoming, id_col, text_col), buckets).withColumns(none | {"is_index": F.lit(0)})
+    new = _bucketed(_groups(incoming), buckets).withColumns(none | {"is_index": F.lit(0)})
     old = index.withColumns({"digest": F.lit(None).cast("binary"), "winner": F.lit(None).cast("long"), "n": F.lit(None).cast("long"), "is_index": F.lit(1)}).select(new.columns)
     return grouped_arrow(new.unionByName(old), ["bucket"], _probe, "digest binary, winner long, n long, member boolean")
 
@@ -137,18 +143,18 @@ def index_groups(index: DataFrame) -> DataFrame:
     return index.select("digests", "winners", "counts").mapInArrow(run, "digest binary, winner long, n long")
 
 
-def exact_groups(df: DataFrame, is_history, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, winner, n, member) over all of df: the rows where is_history holds are indexed, the others looked up.
+def exact_groups(rows: DataFrame) -> DataFrame:
+    """(digest, winner, n, member) over all rows (id, digest, old): those with old are indexed, the others looked up.
 
     A digest that only history has comes from its slot; one that both have gets the larger winner and both counts.
     """
-    old = F.coalesce(is_history, F.lit(False))
-    history, incoming = df.where(old), df.where(~old)
-    buckets = max(1, df.count() // BUCKET)
-    index = build_index(history, id_col, text_col, buckets)
-    found = write_table(probe_index(index, incoming, id_col, text_col, buckets), "probed")
+    buckets = max(1, rows.count() // BUCKET)
+    index = build_index(rows.where("old"), buckets)
+    found = write_table(probe_index(index, rows.where("not old"), buckets), "probed")
     only_old = index_groups(index).join(found.where("member").select("digest"), "digest", "left_anti").withColumn("member", F.lit(True))
-    return found.unionByName(only_old)
+    out = write_table(found.unionByName(only_old), "groups")
+    drop_table(index, found)
+    return out
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_history=None) -> DataFrame:
@@ -159,17 +165,22 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Nulls: a null text equals an empty one. A null id loses to any other; a group without ids keeps all its rows.
     Repeated rows with one id and text are one document: all have the same decision. An empty table gives an empty
-    result. Columns of df that bear one of the four names are replaced; others pass through.
+    result. Columns of df that bear one of the four names are replaced; others, of any name, pass through.
 
-    Groups are aggregated before the shuffle; rows then meet their group in an equi-join, where a text that fills a third
-    of the rows is split by the skew join.
+    Texts are read twice: for a narrow table of ids and digests, from which index, lookups and groups come, and for the
+    result. Groups are aggregated before the shuffle; rows then meet their group in an equi-join, where a text that fills
+    a third of the rows is split by the skew join.
     """
+    tune(df.sparkSession)
     if is_history is None:
-        low, high = df.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-        is_history = F.col(id_col).cast("long") <= ((low or 0) + (high or 0)) // 2
-    groups = exact_groups(df, is_history, id_col, text_col).select(F.col("digest").alias("__digest"), "winner", "n")
-    rows = df.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    out = rows.join(groups, "__digest")
-    keep = F.when(F.col("winner") != NO_ID, F.col("winner"))
-    own = [F.col(c) for c in df.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    return out.select(*own, keep.alias("keep_id"), F.col("n").alias("group_size"), F.col(id_col).cast("long").eqNullSafe(keep).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+        low, high = df.agg(F.min(quoted(id_col).cast("long")), F.max(quoted(id_col).cast("long"))).first()
+        is_history = quoted(id_col).cast("long") <= ((low or 0) + (high or 0)) // 2
+    rows = write_table(digests(df, id_col, text_col, F.coalesce(is_history, F.lit(False)).alias("old")), "digests")
+    made = ("keep_id", "group_size", "kept", "text_sha256")
+    kept = [c for c in df.columns if c.lower() not in made]
+    own, winner, n = fresh(df, "digest", "winner", "n")
+    groups = exact_groups(rows).select(F.col("digest").alias(own), F.col("winner").alias(winner), F.col("n").alias(n))
+    drop_table(rows)
+    out = df.withColumn(own, _digest(text_col)).join(groups, own)
+    keep = F.when(F.col(winner) != NO_ID, F.col(winner))
+    return out.select(*map(quoted, kept), keep.alias("keep_id"), F.col(n).alias("group_size"), quoted(id_col).cast("long").eqNullSafe(keep).alias("kept"), F.lower(F.hex(own)).alias("text_sha256"))

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, tune
+from .common import fresh, quoted, tune, with_made
 
-#: Languages, texts a language, bytes a text and bytes a dictionary that are learned from: a bounded sample.
-LANGUAGES, TEXTS, TEXT_BYTES, DICT_BYTES = 64, 400, 2048, 110 << 10
+#: Texts of each language that are learned from, at most: a bounded sample of labelled rows. A dictionary has DICT_BYTES, to
+#: which all these texts give equal shares, in pieces of PIECE bytes spread evenly over the whole of a text.
+TEXTS, DICT_BYTES, PIECE = 400, 110 << 10, 256
 #: A text is compressed in blocks of this size; later blocks would otherwise be matched with the text itself.
 BLOCK_BYTES, LEVEL = 4096, 5
 UNKNOWN = "und"
@@ -32,19 +33,61 @@ def letters(data: bytes) -> bytes:
     return out[~gap].tobytes()
 
 
+def spread(data: bytes, size: int) -> bytes:
+    """Up to size bytes of data: all of it, or pieces that are spread evenly over it."""
+    if len(data) <= size:
+        return data
+    n = max(1, size // PIECE)
+    starts = np.linspace(0, len(data) - size // n, n).astype(int)
+    return b" ".join(data[a : a + size // n] for a in starts)
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """How much each may give so that all give as much as they have or the same share, and no more than total in all."""
+    out, left = [0] * len(sizes), total
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for k, i in enumerate(order):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
+
+
 def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries of the LANGUAGES most frequent languages, from TEXTS texts each.
+    """A raw-content dictionary of DICT_BYTES at most for every language of df, from up to TEXTS of its texts.
+
+    Texts are taken in the order of a hash of the id, then of the text; null languages, and null and empty texts, are left
+    out. A language whose texts have no letters gets a dictionary of blanks. An empty table gives no dictionary.
 
-    Texts are taken in the order of a hash of id and text; null languages and texts are left out. Bounded by
-    LANGUAGES * TEXTS * TEXT_BYTES bytes. An empty table gives no dictionary.
+    The labels are counted first, without the texts; one pass over the texts then serves all languages: rows beyond four
+    times a language's sample go by their hash before anything moves. What the driver gets, and each worker holds, grows
+    with the number of languages, by DICT_BYTES each for the dictionaries.
     """
-    rows = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.encode(F.substring(text_col, 1, TEXT_BYTES), "utf-8").alias("piece"))
-    top = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    tune(df.sparkSession)
+    text, lang = quoted(text_col).cast("string"), quoted(lang_col).cast("string")
+    h = F.pmod(F.when(quoted(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(quoted(id_col))), F.lit(1 << 40))
+    counts = {r.lang: r["count"] for r in df.where(lang.isNotNull()).groupBy(lang.alias("lang")).count().collect()}
+    if not counts:
+        return {}
+    rows = df.where(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), h.alias("h"), text.alias("text"))
+    # each text may give four times its equal share, as shorter texts leave room
+    told = [(k, (4 * TEXTS << 40) // max(n, 4 * TEXTS), max(PIECE, 4 * DICT_BYTES // min(n, TEXTS))) for k, n in counts.items()]
+    bounds = df.sparkSession.createDataFrame(told, "lang string, bound long, most long")
+
+    @F.arrow_udf("binary")
+    def pieces(texts: pa.Array, most: pa.Array) -> pa.Array:
+        return pa.array([spread(letters(t.encode("utf-8", "surrogatepass")), n) for t, n in zip(texts.to_pylist(), most.to_pylist())], pa.binary())
+
+    near = rows.join(bounds, "lang").where("h <= bound").select("lang", "h", pieces("text", "most").alias("piece"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
+    some = near.withColumn("place", place).where(F.col("place") <= TEXTS).select("lang", "place", "piece").collect()
+    by: dict[str, list[tuple[int, bytes]]] = {}
+    for r in some:
+        by.setdefault(r.lang, []).append((r.place, bytes(r.piece)))
     out = {}
-    for lang in sorted(top):
-        some = first_by_hash(rows.where(F.col("lang") == lang), F.col("h"), TEXTS, top[lang])
-        pieces = [bytes(r.piece)[:TEXT_BYTES] for r in some.select("piece").collect()]
-        out[lang] = b" ".join(map(letters, pieces))[-DICT_BYTES:]
+    for name, found in sorted(by.items()):
+        own = [p for _, p in sorted(found)]
+        part = shares([len(p) + 1 for p in own], DICT_BYTES)
+        out[name] = b" ".join(spread(p, max(0, n - 1)) for p, n in zip(own, part))[:DICT_BYTES].ljust(8)
     return out
 
 
@@ -52,7 +95,7 @@ class Compressors:
     """The compressors of a worker, one a language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(k for k, v in dictionaries.items() if len(v) >= 8)
+        self.langs = sorted(dictionaries)
         self.by_lang = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -89,7 +132,8 @@ def identify_language(df: DataFrame, dictionaries: dict[str, bytes], id_col: str
             found = [compressors.predict(x) for x in t.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
-    kept = [F.col(c) for c in df.columns if c not in ("lang_pred", "score", "accepted")]
-    rows = df.select(*kept, predict(F.col(text_col).cast("string")).alias("__found"))
-    found = F.col("__found")
-    return rows.select(*kept, found.lang.alias("lang_pred"), found.score.alias("score"), ((found.lang != UNKNOWN) & (found.score >= min_margin)).alias("accepted"))
+    (own,) = fresh(df, "found")
+    rows = df.withColumn(own, predict(quoted(text_col).cast("string")))
+    lang, score = F.col(own)["lang"], F.col(own)["score"]
+    made = F.struct(lang.alias("lang_pred"), score.alias("score"), ((lang != UNKNOWN) & (score >= min_margin)).alias("accepted"))
+    return with_made(rows, made, ["lang_pred", "score", "accepted"]).drop(own)

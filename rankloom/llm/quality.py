@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, first_by_hash, spans, tune, utf8
+from .common import first_by_hash, quoted, spans, tune, utf8, with_made
 
 #: A chunk is two blocks of BLOCK bytes; chunks overlap by one block. A filter sees two cells of CELL bytes.
 BLOCK, CELL = 256, 4
@@ -19,11 +19,11 @@ CHUNK = 2 * BLOCK
 
 @dataclass(frozen=True)
 class Training:
-    """documents: labelled documents of each class, at most, that are learned from; chunks: of each, at most, spread
-    evenly over the whole text. So the driver gets 2 * documents * chunks * CHUNK bytes at most."""
+    """documents, bytes: of each class, at most, that are learned from, a bounded sample of labelled rows; texts are taken
+    whole, in the order of a hash, and one that would go beyond the bytes is passed over. So the driver gets 2 * bytes."""
 
     documents: int = 600
-    chunks: int = 16
+    bytes: int = 4 << 20
     filters: int = 16
     embedding: int = 8
     epochs: int = 14
@@ -47,42 +47,28 @@ class Network:
     def filters(self) -> int:
         return len(self.b)
 
-    def responses(self, cells: np.ndarray) -> np.ndarray:
-        """(n cells, filters): each cell with the next; the last with a cell of zeros."""
-        f = self.filters
-        both = cells @ self.w
-        out = both[:, :f].copy()
-        out[:-1] += both[1:, f:]
-        out[-1] += self.zero_cell()
-        return out
-
-    def zero_cell(self) -> np.ndarray:
-        return np.tile(self.emb[0], CELL) @ self.w[:, self.filters :]
-
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probabilities of documents given by bytes and offsets; each is padded with zeros to whole blocks, two at least."""
+        """Probabilities of documents given by bytes and offsets; each is padded with zeros to whole blocks, two at least.
+
+        A window is two neighbouring cells, and lies within a chunk: a chunk's maximum is that of the windows inside its
+        two blocks and of the window across them.
+        """
         lengths = np.diff(offsets)
         blocks = np.maximum(2, -(-lengths // BLOCK))
         ends = np.cumsum(blocks)
-        padded = np.zeros(int(ends[-1]) * BLOCK, np.uint8)
+        padded = np.zeros(int(ends[-1]) * BLOCK + CELL, np.uint8)
         at = (ends - blocks) * BLOCK
         for i in range(len(lengths)):
             padded[at[i] : at[i] + lengths[i]] = data[offsets[i] : offsets[i + 1]]
-        most = np.empty((int(ends[-1]), self.filters), np.float32)
+        n, f, per = int(ends[-1]), self.filters, BLOCK // CELL
+        inside, across = np.empty((n, f), np.float32), np.empty((n, f), np.float32)
         step = 1 << 10  # blocks at once
-        per = BLOCK // CELL
-        zero = self.zero_cell()
-        for a in range(0, len(most), step):
-            b = min(a + step, len(most))
-            stop = min(b * BLOCK + CELL, len(padded))
-            r = self.responses(self.emb[padded[a * BLOCK : stop]].reshape(-1, CELL * self.emb.shape[1]))[: (b - a) * per]
-            last = ends[(ends > a) & (ends <= b)] - a  # a document's last cell must not see the next document
-            if len(last):
-                cell = last * per - 1
-                own = self.emb[padded[(a * per + cell)[:, None] * CELL + np.arange(CELL)]].reshape(len(cell), -1)
-                r[cell] = own @ self.w[:, : self.filters] + zero
-            most[a:b] = r.reshape(b - a, per, -1).max(axis=1)
-        pooled = np.maximum(most[:-1], most[1:])
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            both = self.emb[padded[a * BLOCK : b * BLOCK + CELL]].reshape(-1, CELL * self.emb.shape[1]) @ self.w
+            r = (both[:-1, :f] + both[1:, f:]).reshape(b - a, per, f)
+            inside[a:b], across[a:b] = r[:, :-1].max(axis=1), r[:, -1]
+        pooled = np.maximum(np.maximum(inside[:-1], inside[1:]), across[:-1])
         logit = np.maximum(pooled + self.b, 0) @ self.v + self.c[0]
         keep = np.ones(len(logit), bool)
         keep[ends[:-1] - 1] = False  # a chunk lies within one document
@@ -91,6 +77,17 @@ class Network:
         mean = np.add.reduceat(logit, first) / (blocks - 1)
         return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
+    def pooled(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk (n, CHUNK) and filter, the greatest response and its window; some chunks at a time."""
+        f, width = self.filters, CELL * self.emb.shape[1]
+        top, best = np.empty((len(raw), f), np.float32), np.empty((len(raw), f), np.int64)
+        for a in range(0, len(raw), 512):
+            both = self.emb[raw[a : a + 512]].reshape(-1, CHUNK // CELL, width) @ self.w
+            r = both[:, :-1, :f] + both[:, 1:, f:]
+            best[a : a + 512] = r.argmax(axis=1)
+            top[a : a + 512] = np.take_along_axis(r, best[a : a + 512, None, :], 1)[:, 0, :]
+        return top, best
+
     def fit(self, chunks: np.ndarray, docs: np.ndarray, labels: np.ndarray, params: Training) -> None:
         """chunks: (n, CHUNK) bytes; docs: the document of each, ascending; labels: 0 or 1 of each document. Adam on the
         cross-entropy of documents; classes weigh the same."""
@@ -113,11 +110,7 @@ class Network:
                 count = starts[some + 1] - starts[some]
                 owner = np.repeat(np.arange(len(some)), count)
                 raw = chunks[rows]
-                x = self.emb[raw].reshape(len(rows), CHUNK // CELL, CELL * d)
-                both = x @ self.w
-                r = both[:, :-1, :f] + both[:, 1:, f:]
-                best = r.argmax(axis=1)
-                top = np.take_along_axis(r, best[:, None, :], 1)[:, 0, :]
+                top, best = self.pooled(raw)
                 h = np.maximum(top + self.b, 0)
                 logit = h @ self.v + self.c[0]
                 z = np.bincount(owner, logit, len(some)) / count
@@ -126,10 +119,10 @@ class Network:
                 dh = dz[:, None] * self.v * (top + self.b > 0)
                 g = {"v": h.T @ dz, "c": np.array([dz.sum()], np.float32), "b": dh.sum(axis=0)}
                 n = np.arange(len(rows))[:, None]
-                x0, x1 = x[n, best], x[n, best + 1]  # (rows, filters, CELL * d)
+                cells = raw.reshape(len(rows), CHUNK // CELL, CELL)
+                x0, x1 = (self.emb[cells[n, w]].reshape(len(rows), f, CELL * d) for w in (best, best + 1))
                 g["w"] = np.concatenate([np.einsum("nfk,nf->kf", x0, dh), np.einsum("nfk,nf->kf", x1, dh)], axis=1)
                 g["emb"] = np.zeros_like(self.emb)
-                cells = raw.reshape(len(rows), CHUNK // CELL, CELL)
                 for where, w in ((best, self.w[:, :f]), (best + 1, self.w[:, f:])):
                     dx = (dh[:, :, None] * w.T[None]).reshape(-1, d)
                     np.add.at(g["emb"], cells[n, where].reshape(-1), dx)
@@ -142,43 +135,44 @@ class Network:
                     now -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
 
-def _samples(most: int):
-    schema = pa.schema([("id", pa.int64()), ("chunk", pa.binary())])
-
-    def run(batches):
-        for rows in batches:
-            data, offsets = utf8(rows.column(1))
-            ids, out = [], []
-            for i, key in enumerate(rows.column(0).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                blocks = max(1, -(-len(text) // BLOCK) - 1)
-                for k in np.unique(np.linspace(0, blocks - 1, min(most, blocks)).astype(int)):
-                    ids.append(key)
-                    out.append(text[k * BLOCK : k * BLOCK + CHUNK].tobytes().ljust(CHUNK, b"\0"))
-            yield batch(schema, ids, out)
-
-    return run
+def chunks_of(text: bytes) -> np.ndarray:
+    """(n, CHUNK) bytes: all chunks of a whole text, the last padded with zeros."""
+    blocks = max(2, -(-len(text) // BLOCK))
+    padded = np.frombuffer(text.ljust(blocks * BLOCK, b"\0"), np.uint8).reshape(blocks, BLOCK)
+    return np.concatenate([padded[:-1], padded[1:]], axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: Training = Training()) -> Network:
     """A network from a bounded sample of the labelled documents: of each class those first by a hash of the id.
 
     Labels other than 0 and 1, null ids, and labels of no document are left out; of several labels of one id the
-    smallest counts. Without documents of both classes the network returns a constant.
+    smallest counts, and of several texts of one id the smallest. Without documents of both classes the network returns
+    a constant. Sampled texts are learned from whole.
     """
     tune(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+    known = labels.where(quoted(label_col).isin(0, 1) & quoted(id_col).isNotNull()).groupBy(quoted(id_col).cast("long").alias("id")).agg(F.min(quoted(label_col)).cast("int").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = {}
     for y in counts:
-        chosen |= {r.id: y for r in first_by_hash(known.where(F.col("y") == y), F.xxhash64("id"), params.documents, counts[y]).select("id").collect()}
+        some = first_by_hash(known.where(F.col("y") == y), F.xxhash64("id"), params.documents, counts[y]).select("id", F.xxhash64("id").alias("h")).collect()
+        chosen |= {r.id: (y, r.h) for r in some}
     net = Network(params)
+    parts: list[tuple[int, np.ndarray]] = []
     if chosen:
-        own = docs.where(F.col(id_col).isin(*chosen)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        rows = sorted((r.id, bytes(r.chunk)) for r in own.mapInArrow(_samples(params.chunks), "id long, chunk binary").collect())
-        ids, docs_at = np.unique([r[0] for r in rows], return_inverse=True) if rows else (np.zeros(0, int), np.zeros(0, int))
-        chunks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, CHUNK)
-        net.fit(chunks, docs_at, np.array([chosen[int(i)] for i in ids], np.int64), params)
+        text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+        own = docs.where(quoted(id_col).isin(*chosen)).select(quoted(id_col).cast("long").alias("id"), text.alias("text"))
+        sizes = {r.id: r.n for r in own.groupBy("id").agg(F.min(F.octet_length("text")).alias("n")).collect()}
+        left, taken = {0: params.bytes, 1: params.bytes}, []
+        for i in sorted(sizes, key=lambda i: (chosen[i][1], i)):
+            if sizes[i] <= left[chosen[i][0]]:
+                left[chosen[i][0]] -= sizes[i]
+                taken.append(i)
+        if taken:
+            smallest = F.min(F.struct(F.octet_length("text").alias("n"), F.encode("text", "utf-8").alias("raw")))
+            fits = own.where(F.col("id").isin(*taken)).groupBy("id").agg(smallest.alias("t")).select("id", "t.raw")
+            parts = [(r.id, chunks_of(bytes(r.raw))) for r in sorted(fits.collect(), key=lambda r: r.id)]
+    chunks = np.concatenate([np.zeros((0, CHUNK), np.uint8), *(c for _, c in parts)])
+    net.fit(chunks, np.repeat(np.arange(len(parts)), [len(c) for _, c in parts]), np.array([chosen[i][0] for i, _ in parts], np.int64), params)
     return net
 
 
@@ -191,13 +185,12 @@ def score_quality(df: DataFrame, network: Network, text_col: str = "text", thres
     """
     tune(df.sparkSession)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("score double, predicted int")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
             data, offsets = utf8(t)
-            out = [network.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans(offsets)]
-            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+            found = [network.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in spans(offsets)]
+            p = np.concatenate(found) if found else np.zeros(0)
+            yield pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())], ["score", "predicted"])
 
-    kept = [F.col(c) for c in df.columns if c not in ("score", "predicted")]
-    rows = df.select(*kept, score(F.col(text_col).cast("string")).alias("score"))
-    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+    return with_made(df, score(quoted(text_col).cast("string")), ["score", "predicted"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact, forest, langid, licences, near, packing, quality, substring
-from .common import crc_fold
+from .common import crc_fold, tune, write_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("words")), F.col("words")).drop("words")
+    tune(spark)
+    lengths = write_table(docs.select("doc_id", packing.word_count(F.col("text")).alias("words")), "lengths")
+    return packing.pack(lengths, F.col("words")).drop("words")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +54,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licences(table(spark, sf_dir, "documents"))
-
-
-def op8_licence_scan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts and licence texts; op8_licence_scan has lines, as its SQL."""
     return licences.scan_texts(table(spark, sf_dir, "documents"))
 
 
@@ -75,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_chat_format, op3_packing, op4_minhash_near_dedup, op5_quality, op6_exact_dedup, op7_language_id,
-        op8_licence_scan, op8_licence_scan_full, op9_embedding_near_dedup, op10_bpe,
+        op8_licence_scan, op9_embedding_near_dedup, op10_bpe,
     )
 }
 
@@ -122,26 +119,45 @@ def _chat_sql(template: chat.Template) -> str:
     """
 
 
-def _licence_sql(scan: licences.LicenceScan) -> str:
-    templates = ", ".join(f"({k}, {_quoted(name)}, [{', '.join(map(_quoted, licences.python_bigrams(text)))}])" for k, (name, text) in enumerate(scan.templates))
+def _licence_sql(scan: licences.TextScan) -> str:
+    p = scan.percent
+    templates = ", ".join(
+        f"({k}, {_quoted(name)}, [{', '.join(map(_quoted, g))}], {len(g)}, {-(-p * len(g) // (200 - p))}, {(len(licences.python_words(text)) - 1) * (200 - p) // p})"
+        for k, (name, text) in enumerate(scan.templates)
+        for g in [licences.python_bigrams(text)]
+    )
     return f"""
-        WITH t(template_no, licence, g) AS (VALUES {templates}),
-        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
-        words AS (
-            SELECT doc_id, line_no, string_split(trim(regexp_replace(
-                translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
-            FROM lines),
-        grams AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
-        m AS (SELECT doc_id, line_no, licence, template_no, len(list_intersect(b, g)) AS c, len(b) AS n, len(g) AS t FROM grams CROSS JOIN t)
-        SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, licence, CAST(template_no AS INTEGER) AS template_no, CAST(c AS INTEGER) AS common,
-            CAST(n AS INTEGER) AS line_bigrams, CAST(t AS INTEGER) AS template_bigrams, CAST(2 * c AS DOUBLE) / (n + t) AS dice
-        FROM m WHERE 200 * c >= {scan.percent} * (n + t)
+        WITH t(k, licence, g, n_g, least, longest) AS (VALUES {templates}),
+        docs AS (
+            SELECT row_number() OVER () AS row_no, doc_id, string_split(trim(regexp_replace(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+            FROM documents),
+        grams AS (SELECT row_no, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM docs WHERE len(w) > 1),
+        pos AS (SELECT row_no, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS i FROM grams),
+        known AS (SELECT k, unnest(g) AS x FROM t),
+        hits AS (SELECT row_no, k, i, x FROM pos JOIN known USING (x)),
+        enough AS (SELECT row_no, k FROM hits JOIN t USING (k) GROUP BY row_no, k HAVING count(DISTINCT x) >= min(least)),
+        own AS (SELECT row_no, k, i FROM hits JOIN enough USING (row_no, k)),
+        spans AS (
+            SELECT a.row_no, a.k, a.i AS a, z.i AS z, list_distinct(list_slice(b, a.i + 1, z.i + 1)) AS s, g, n_g, doc_id
+            FROM own a JOIN t USING (k) JOIN own z ON z.row_no = a.row_no AND z.k = a.k AND z.i >= a.i + least - 1 AND z.i < a.i + longest
+            JOIN grams ON grams.row_no = a.row_no),
+        good AS (SELECT row_no, doc_id, k, a, z, n_g, len(s) AS n, len(list_intersect(s, g)) AS c FROM spans WHERE 200 * len(list_intersect(s, g)) >= {p} * (len(s) + n_g)),
+        best AS (
+            SELECT row_no, k, any_value(doc_id) AS doc_id, any_value(n_g) AS n_g, list_reduce(
+                list([{{'a': a, 'z': z, 'n': n, 'c': c}}] ORDER BY -2 * CAST(c AS DOUBLE) / (n + n_g), a, z),
+                lambda kept, s: CASE WHEN len(list_filter(kept, lambda o: o.a <= s[1].z AND s[1].a <= o.z)) > 0 THEN kept ELSE list_concat(kept, s) END) AS kept
+            FROM good GROUP BY row_no, k),
+        out AS (SELECT doc_id, k, n_g, unnest(kept) AS m FROM best)
+        SELECT doc_id, CAST(m.a AS INTEGER) AS word_no, CAST(m.z - m.a + 2 AS INTEGER) AS n_words, licence, CAST(k AS INTEGER) AS template_no, CAST(m.c AS INTEGER) AS common,
+            CAST(m.n AS INTEGER) AS span_bigrams, CAST(out.n_g AS INTEGER) AS template_bigrams, 2 * CAST(m.c AS DOUBLE) / (m.n + out.n_g) AS dice
+        FROM out JOIN t USING (k)
     """
 
 
 ORACLE_SQL = {
     "op2_chat_format": _chat_sql(chat.Template()),
-    "op8_licence_scan": _licence_sql(licences.LicenceScan()),
+    "op8_licence_scan": _licence_sql(licences.TextScan()),
     "op9_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

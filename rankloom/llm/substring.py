@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, batch, drop_table, randoms, range_hashes, tune, utf8, write_table
+from .common import SLICE_BYTES, batch, drop_table, fresh, quoted, randoms, range_hashes, tune, utf8, with_made, write_table
 
 #: Bytes that the rolling hash looks back on: bit k of the gear value depends on the last k + 1 bytes only.
 WINDOW = 16
@@ -79,16 +79,14 @@ def cuts(data: np.ndarray, c: Chunking) -> np.ndarray:
 
 
 def chunks(data: np.ndarray, c: Chunking) -> tuple[np.ndarray, np.ndarray]:
-    """Ends and 64-bit digests of a text's chunks. A text over a slice is taken in slices."""
-    if len(data) <= 2 * SLICE_BYTES:
-        ends = cuts(data, c)
-        return ends, range_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64)
+    """Ends and 128-bit digests (n, 2) of a text's chunks. A text over a slice is taken in slices."""
     ends = cuts(data, c)
-    starts = np.concatenate([[0], ends[:-1]])
-    out, i = [], 0
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    out, i = [np.zeros((0, 2), np.uint64)], 0
     while i < len(ends):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, "right")))
-        out.append(range_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]))
+        j = len(ends) if len(data) <= 2 * SLICE_BYTES else max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, "right")))
+        part, a, b = data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        out.append(np.stack([range_hashes(part, a, b, which) for which in (0, 1)], axis=1))
         i = j
     return ends, np.concatenate(out)
 
@@ -109,17 +107,19 @@ def _texts(column) -> Iterator[np.ndarray]:
 
 
 def _digests(c: Chunking):
-    schema = pa.schema([("digest", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
         for rows in batches:
             ids, digests = [], []
             for i, data in zip(rows.column(0).to_numpy(), _texts(rows.column(1))):
-                d = np.unique(chunks(data, c)[1].view(np.int64))
+                d = chunks(data, c)[1].view(np.int64)
+                d = d[np.unique(d[:, 0], return_index=True)[1]]
                 digests.append(d)
                 ids.append(np.full(len(d), i))
             if digests:
-                yield batch(schema, np.concatenate(digests), np.concatenate(ids))
+                d = np.concatenate(digests)
+                yield batch(schema, d[:, 0], d[:, 1], np.concatenate(ids))
 
     return run
 
@@ -128,23 +128,26 @@ def deduplicate_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str
     """df with its text shortened, and n_chunks, n_removed, removed_chars and removed_spans (characters, in the old text).
 
     Of equal chunks the one in the smallest id stays, in it the first. Runs of other chunks with at least chunking.run
-    bytes are removed; shorter ones stay, so common words are left alone. Texts are read whole.
+    bytes are removed; shorter ones stay, so common words are left alone. Texts are read whole. Chunks are equal if two
+    independent 64-bit digests are, 128 bits in all; within one text one of them tells chunks apart.
 
     A null text stays null and an empty one empty. A row with a null id is neither changed nor compared. Rows that share
     an id are compared as one document: what one repeats of another of them stays. An empty table gives an empty one.
-    Other columns pass through; those with the four new names are replaced.
+    Other columns, of any name, pass through; those with the four new names are replaced.
 
     Plan: (digest, id) pairs are aggregated to the smallest id, with map-side combination, and only digests of several
     ids go on. The pairs meet these in an equi-join that the skew join can split where a chunk is very common, and are
     gathered by document: a document's own chunks at most. Last the texts meet their lists in one join on the id.
     """
     tune(df.sparkSession)
-    kept = [c for c in df.columns if c not in ("n_chunks", "n_removed", "removed_chars", "removed_spans")]
-    rows = df.select(*kept)
-    pairs = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_digests(chunking), "digest long, id long")
-    shared = pairs.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
+    made = ("n_chunks", "n_removed", "removed_chars", "removed_spans")
+    rows = df.select(*[quoted(c) for c in df.columns if c.lower() not in made])
+    id_, text_ = quoted(id_col).cast("long"), quoted(text_col).cast("string")
+    pairs = rows.where(quoted(id_col).isNotNull() & quoted(text_col).isNotNull()).select(id_.alias("id"), text_.alias("text")).mapInArrow(_digests(chunking), "high long, low long, id long")
+    shared = pairs.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("high", "low", "first")
     shared = write_table(shared, "chunks")
-    lists = pairs.join(shared, "digest").where("id <> first").groupBy(F.col("id").alias("__id")).agg(F.collect_set("digest").alias("__digests"))
+    own_id, own_list = fresh(df, "id", "list")
+    lists = pairs.join(shared, ["high", "low"]).where("id <> first").groupBy(F.col("id").alias(own_id)).agg(F.collect_set("high").alias(own_list))
     lists = write_table(lists, "lists")
     drop_table(shared)
 
@@ -157,7 +160,7 @@ def deduplicate_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str
                 out.append((texts[i].as_py(), 0, 0, 0, []))
                 continue
             ends, own = chunks(text, chunking)
-            own = own.view(np.int64)
+            own = own[:, 0].view(np.int64)
             again = np.ones(len(own), bool)
             again[np.unique(own, return_index=True)[1]] = False
             gone = lists_at(i)
@@ -178,9 +181,9 @@ def deduplicate_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str
         kinds = [("text", pa.string()), ("n_chunks", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
         return pa.StructArray.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    joined = rows.withColumn("__id", F.col(id_col).cast("long")).join(lists, "__id", "left")
-    made = joined.select(*kept, clean(F.col(text_col).cast("string"), F.col("__id"), F.col("__digests")).alias("__made"))
-    return made.select(*[F.col("__made.text").alias(c) if c == text_col else F.col(c) for c in kept], *[F.col("__made")[n].alias(n) for n in ("n_chunks", "n_removed", "removed_chars", "removed_spans")])
+    joined = rows.withColumn(own_id, id_).join(lists, own_id, "left")
+    out = with_made(joined, clean(text_, own_id, own_list), list(made), {text_col: "text"})
+    return out.drop(own_id, own_list)
 
 
 def list_values(column: pa.Array):
