@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import exact, langid, near, packing, substring
-from rankloom.llm.common import crc_fold, write_table
+from rankloom.llm.common import crc_fold, drop_table, tune, write_table
 
 #: Not expressible in SQL (compression, rolling hashes, dynamic programming); the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -19,7 +19,8 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough margin; `lang` becomes what was told.
 
-    Documents that the operator rejects go: no letter, or no margin between the two best languages.
+    Documents that the operator rejects go: no letter, or no margin between the two best languages. Dictionaries are
+    learned from the documents that bear a language, but for those held out.
     """
     dictionaries = langid.learn_dictionaries(docs.where(crc_fold(F.col("doc_id"), 4) != 2))
     found = langid.identify_language(docs, dictionaries).where("accepted")
@@ -46,8 +47,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A slot in a token-budget batch for each document."""
-    packed = packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("words")), F.col("words"))
-    return packed.drop("words")
+    tune(spark)
+    lengths = write_table(docs.select("doc_id", packing.word_count(F.col("text")).alias("words")), "lengths")
+    return packing.pack(lengths, F.col("words")).drop("words")
 
 
 STAGES = [
@@ -62,5 +64,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_table(before)  # only the last stage's table stays
     return docs
