@@ -275,15 +275,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comp = connected_components(both.mapInArrow(_confirmed(part, whole), "a long, b long"), "components").withColumnRenamed("node", "rep")
     labelled = write_table(members.where("n > 2").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "labelled")
     blocks = write_table(_blocks(labelled, "key", BLOCK), "blocks")
-    drop_table(multi, members, pairs, sets)
+    drop_table(multi, members, pairs)
     united = None
     if not blocks.isEmpty():
         work = _dealt(labelled, blocks, "key").join(own, "rep")
         near = connected_components(grouped_arrow(work, ["key", "i", "j"], _cross(index, part, whole), "a long, b long"), "near")
         if not near.isEmpty():
-            united = _united(near.toDF("comp", "cluster"), comp, reps, sets_of, part, whole)
+            united = _united(near.toDF("comp", "cluster"), comp, reps, sets, sets_of, part, whole)
         drop_table(near)
-    drop_table(labelled, blocks)
+    drop_table(labelled, blocks, sets)
     classes = reps.select("cls", "rep").join(comp, "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
     if united is not None:
         classes = classes.join(united.toDF("c", "into"), "c", "left").select("cls", F.coalesce("into", "c").alias("c"))
@@ -291,15 +291,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _united(near: DataFrame, comp: DataFrame, reps: DataFrame, sets_of, part: int, whole: int) -> DataFrame:
-    """(component, the component that it goes into), from clusters (comp, cluster) of components, by full sets."""
+def _united(near: DataFrame, comp: DataFrame, reps: DataFrame, sets: DataFrame, sets_of, part: int, whole: int) -> DataFrame:
+    """(component, the component that it goes into), from clusters (comp, cluster) of components, by full sets.
+
+    sets: those that are there already; the texts are read again for the others only.
+    """
     clusters = near.unionByName(near.select(F.col("cluster").alias("comp"), "cluster").distinct())
     rest = comp.join(clusters, F.col("component") == F.col("comp")).select("rep", "comp", "cluster")
     members = clusters.select(F.col("comp").alias("rep"), "comp", "cluster").unionByName(rest)
     within = write_table(members.join(reps.select("rep", "n_shingles"), "rep"), "within")
-    sets = sets_of(within.select("rep"))
+    more = sets_of(within.select("rep").join(sets.select("rep"), "rep", "left_anti"))
     blocks = write_table(_blocks(within, "cluster", SET_BLOCK, "n_shingles"), "blocks")
-    work = _dealt(within.drop("n_shingles"), blocks, "cluster").join(sets, "rep")
+    work = _dealt(within.drop("n_shingles"), blocks, "cluster").join(sets.unionByName(more), "rep")
     out = connected_components(grouped_arrow(work, ["cluster", "i", "j"], _exact(part, whole), "a long, b long"), "united")
-    drop_table(within, sets, blocks)
+    drop_table(within, more, blocks)
     return out
