@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import written
 
 K1, B = 1.5, 0.75
 DIGITS = 9
@@ -30,35 +31,66 @@ def top_k(scores: DataFrame, k: int | None, keys: tuple[str, ...] = ("query_id",
 
 @dataclass
 class LexicalIndex:
-    """R1 as tables: postings(term, doc_id, tf), doc_stats(doc_id, doc_len), term_stats(term, df, idf), corpus_stats(n, avgdl)."""
+    """R1 as tables: postings(term, doc_id, tf, doc_len), doc_stats(doc_id, doc_len), term_stats(term, df, idf),
+    corpus_stats(n, avgdl). One plan, or stored tables that searches read."""
 
     documents: DataFrame
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    stored: bool = False
 
-    def write(self, path: str, buckets: int | None = None) -> None:
-        """Postings partitioned by a hash of the term, so that queries read and join few files; the rest as they are."""
-        p = self.postings.repartition(*([buckets] if buckets else []), "term").sortWithinPartitions("term", "doc_id")
-        p.write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("documents", "doc_stats", "term_stats", "corpus_stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self, path: str, partitions: int | None = None) -> None:
+        """The index and its documents, for read(): see store_index()."""
+        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        store_index(self.documents, path, partitions)
 
     @classmethod
-    def read(cls, spark, path: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("documents", "postings", "doc_stats", "term_stats", "corpus_stats")])
+    def read(cls, spark, path: str, documents: DataFrame | None = None) -> LexicalIndex:
+        """What store_index() or write() wrote; documents: the texts, where these stand elsewhere."""
+        docs, rows, terms, corpus = (documents if n == "documents" and documents is not None else spark.read.parquet(f"{path}/{n}") for n in ("documents", "rows", "term_stats", "corpus_stats"))
+        return cls(docs, rows.where("term is not null"), rows.where("term is null").select("doc_id", "doc_len"), terms, corpus, True)
 
 
-def lexical_index(documents: DataFrame) -> LexicalIndex:
-    """documents(doc_id, text). Null and empty texts have length 0 and count as documents."""
+def _token_rows(documents: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, doc_len), with a row of a null term for each document, so that one pass gives all."""
     toks = documents.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    doc_stats = toks.select("doc_id", F.size("toks").cast("long").alias("doc_len"))
-    corpus = doc_stats.agg(F.count("*").alias("n"), (F.coalesce(F.sum("doc_len"), F.lit(0)).cast("double") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    postings = toks.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return toks.select("doc_id", F.size("toks").cast("long").alias("doc_len"), F.explode(F.concat("toks", F.array(F.lit(None).cast("string")))).alias("term"))
+
+
+def _corpus(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n"), (F.coalesce(F.sum("doc_len"), F.lit(0)).cast("double") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+
+
+def _term_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(corpus)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
-    return LexicalIndex(documents, postings.select("term", "doc_id", "tf"), doc_stats, terms, corpus)
+    return df.crossJoin(F.broadcast(corpus)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
+
+
+def lexical_index(documents: DataFrame) -> LexicalIndex:
+    """documents(doc_id, text). Null and empty texts have length 0 and count as documents; a lazy plan, for one use."""
+    rows = _token_rows(documents)
+    doc_stats = rows.where("term is null").select("doc_id", "doc_len")
+    postings = rows.where("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    corpus = _corpus(doc_stats)
+    return LexicalIndex(documents, postings, doc_stats, _term_stats(postings, corpus), corpus)
+
+
+def store_index(documents: DataFrame, path: str, partitions: int | None = None) -> LexicalIndex:
+    """The index of documents, built once and written under path, for all searches to come.
+
+    The texts are read and cut into tokens once. Rows are dealt by term and document together, so a term of most documents
+    is spread over all files, and sorted by term within a file, so that a search skips the row groups without its terms.
+    """
+    spark = documents.sparkSession
+    rows = _token_rows(documents).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    rows = rows.coalesce(partitions) if partitions else rows
+    rows.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    _corpus(rows.where("term is null")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    _term_stats(rows.where("term is not null"), spark.read.parquet(f"{path}/corpus_stats")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    return LexicalIndex.read(spark, path, documents)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -71,37 +103,38 @@ def query_terms(texts: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> Data
 
 
 def narrowed(index: LexicalIndex, terms: DataFrame) -> LexicalIndex:
-    """The index as far as given terms need it: token rows of other terms never reach a shuffle.
+    """The index as far as given terms need it: of an index that is only a plan, token rows of other terms never reach a
+    shuffle. A stored one is as it is.
 
     Document lengths and corpus statistics still count every token.
     """
+    if index.stored:
+        return index
     need = terms.select("term").distinct()
-    toks = index.documents.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    hits = toks.select("doc_id", F.size("toks").cast("long").alias("doc_len"), F.explode("toks").alias("term")).join(need, "term", "left_semi")
+    hits = _token_rows(index.documents).where("term is not null").join(need, "term", "left_semi")
     postings = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = df.crossJoin(F.broadcast(index.corpus_stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return LexicalIndex(index.documents, postings, index.doc_stats, stats, index.corpus_stats)
+    return LexicalIndex(index.documents, postings, index.doc_stats, _term_stats(postings, index.corpus_stats), index.corpus_stats)
 
 
 def bm25_scores(index: LexicalIndex, terms: DataFrame, keys: tuple[str, ...] = ("query_id",), k1: float = K1, b: float = B) -> DataFrame:
     """R2 without a cut: (keys, doc_id, score) of every document with a term of the query."""
-    own = terms.join(index.term_stats.select("term", "idf"), "term")
-    hits = index.postings if "doc_len" in index.postings.columns else index.postings.join(index.doc_stats, "doc_id")
+    own = terms.join(index.term_stats.select("term", "idf"), "term").select(*keys, "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    if index.stored:
+        own = written(own, "query-terms")  # its size is known, so postings need not move to meet few terms
     tf, norm = F.col("tf"), 1 - b + b * F.col("doc_len") / F.col("avgdl")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)
-    rows = own.join(hits, "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))  # one row
-    return rows.groupBy(*keys, "doc_id").agg(F.sum(part).alias("score"))
+    corpus = F.broadcast(index.corpus_stats.select("avgdl"))  # one row
+    impact = index.postings.crossJoin(corpus).select("term", "doc_id", (tf * (k1 + 1) / (tf + k1 * norm)).alias("impact"))
+    return impact.join(own, "term").groupBy(*keys, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
 
 
 def bm25_search(documents: DataFrame, texts: DataFrame, k: int | None = 10, keys: tuple[str, ...] = ("query_id",), index: LexicalIndex | None = None) -> DataFrame:
-    """R2 with R13: equal texts are scored once, then joined back to their keys."""
+    """R2 with R13: equal texts are scored once, under a number, then joined back to their keys."""
     hashed = texts.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    once = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    terms = query_terms(once, ("text_hash",))
-    base = index or narrowed(lexical_index(documents), terms)
-    scores = top_k(bm25_scores(base, terms, ("text_hash",)), k, ("text_hash",))
-    return hashed.select(*keys, "text_hash").join(scores, "text_hash").drop("text_hash")
+    once = written(hashed.select("text_hash", "text").dropDuplicates(["text_hash"]).withColumn("text_no", F.monotonically_increasing_id()), "texts")
+    terms = query_terms(once, ("text_no",))
+    base = narrowed(index or lexical_index(documents), terms)
+    scores = top_k(bm25_scores(base, terms, ("text_no",)), k, ("text_no",))
+    return hashed.select(*keys, "text_hash").join(once.select("text_hash", "text_no"), "text_hash").join(scores, "text_no").drop("text_hash", "text_no")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -140,9 +173,12 @@ def rm3_terms(index: LexicalIndex, first_pass: DataFrame, query_text: DataFrame,
     top = first_pass.where(F.col("rank") <= max(fb_docs, 1)).select("query_id", "doc_id", "score")
     q = Window.partitionBy("query_id")
     weighted = top.withColumn("e", F.exp(F.col("score") - F.max("score").over(q))).withColumn("w", F.col("e") / F.sum("e").over(q)).select("query_id", "doc_id", "w")
-    docs = index.documents.join(weighted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    terms = docs.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*T.STOPWORDS))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    found = weighted.select("doc_id").distinct()
+    if index.stored:
+        hits = index.postings.join(found, "doc_id", "left_semi")
+    else:
+        hits = _token_rows(index.documents.join(found, "doc_id", "left_semi")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    tf = hits.where((F.length("term") > 2) & ~F.col("term").isin(*T.STOPWORDS))
     scored = weighted.join(tf, "doc_id").groupBy("query_id", "term").agg(F.sum(F.col("w") * F.col("tf") / F.col("doc_len")).alias("score"))
     own = query_terms(query_text).select("query_id", "term")
     left = scored.join(own, ["query_id", "term"], "left_anti")
@@ -193,15 +229,25 @@ def support_context(documents: DataFrame, ranking: DataFrame, terms: DataFrame,
 
 
 def random_terms(term_stats: DataFrame, queries: DataFrame, count: int, seed: int = 13) -> DataFrame:
-    """R11, portable: for each query the `count` vocabulary terms that come first by a hash of seed, query and term.
+    """R11, portable: for each query `count` vocabulary terms, none of them its own, drawn by a hash of seed and query.
 
-    queries: (query_id, text). Hash order stands for a seeded sample. The stated queries meet the vocabulary in blocks.
+    queries: (query_id, text). The vocabulary stands in the order of a hash of seed and term; a query's place in that order
+    is a hash too, and it takes the terms that follow, in a circle. So a query meets a few numbered terms in an equi-join,
+    never the vocabulary: `count` of them and as many as it has tokens of its own. Numbers come from counts of hash ranges.
     """
-    vocab = term_stats.where((F.length("term") > 2) & ~F.col("term").isin(*T.STOPWORDS)).select("term")
-    rows = vocab.crossJoin(queries.select("query_id", T.tokens(F.col("text")).alias("own"))).where(~F.array_contains("own", F.col("term")))
-    w = Window.partitionBy("query_id").orderBy("h", "term")
-    hashed = rows.select("query_id", "term", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), "term"), 256).alias("h"))
-    return hashed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count).select("query_id", "term", "place")
+    vocab = term_stats.where((F.length("term") > 2) & ~F.col("term").isin(*T.STOPWORDS)).select("term", F.sha2(F.concat_ws("|", F.lit(str(seed)), "term"), 256).alias("h"))
+    vocab = vocab.withColumn("part", F.substring("h", 1, 3))  # 4,096 ranges, which hashes fill evenly
+    sizes = vocab.groupBy("part").agg(F.count("*").alias("m"))
+    before = sizes.withColumn("before", F.sum("m").over(Window.orderBy("part")) - F.col("m"))
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("total"))
+    numbered = vocab.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("h", "term"))).join(before, "part").select("term", (F.col("before") + F.col("i") - 1).alias("at"))
+    own = queries.select("query_id", T.tokens(F.coalesce("text", F.lit(""))).alias("own")).crossJoin(F.broadcast(total)).where("total > 0")  # one row
+    start = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string")), 256), 1, 15), 16, 10).cast("long"), F.col("total"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(count) + F.size(F.array_distinct("own"))) - 1)
+    tried = own.select("query_id", "own", "total", start.alias("start"), F.explode(steps).alias("step")).select("query_id", "own", "step", F.pmod(F.col("start") + F.col("step"), F.col("total")).alias("at"))
+    rows = tried.join(numbered, "at").where(~F.array_contains("own", F.col("term")))
+    w = Window.partitionBy("query_id").orderBy("step")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count).select("query_id", "term", "place")
 
 
 def idf_matched_terms(term_stats: DataFrame, texts: DataFrame, count: int, seed: int = 13, window: int = 25) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import fusion, leakage, metrics, retrieval
 from ..sources.datasets import Dataset
 from . import generation
 from .methods import Method, registry, required_routes, route_expression, select_methods
+from .session import new_path, written
 
 #: Comparisons, suspicious pairs and controls that a run reports.
 PRIMARY_METRICS = ("ndcg@10", "recall@10", "recall@20", "recall@100", "mrr@10")
@@ -72,11 +73,6 @@ def route_texts(dataset: Dataset, first: DataFrame, terms: DataFrame, routes: tu
     return g.select("query_id", F.explode(exprs).alias("r")).select("query_id", "r.route", "r.text")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of what many parts of a plan read, in the session's checkpoint folder if it has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def run(dataset: Dataset, config: Config = Config()) -> Result:
     """§3.1. Plans the selected methods and returns lazy tables; texts that occur twice are searched once.
 
@@ -90,15 +86,15 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     if config.methods is not None:
         chosen = {n: m for n, m in chosen.items() if n in config.methods}
     docs, q = dataset.documents, dataset.queries
-    index = retrieval.lexical_index(docs.select("doc_id", "text"))
+    index = retrieval.store_index(docs.select("doc_id", "text"), new_path(docs.sparkSession, "index"))
     own = q.select("query_id", "text")
-    first = cut(retrieval.bm25_search(docs, own, max(config.top_k, 20), index=index))
-    terms = cut(retrieval.support_terms(docs, first, own))
+    first = written(retrieval.bm25_search(docs, own, max(config.top_k, 20), index=index), "ranking")
+    terms = written(retrieval.support_terms(docs, first, own), "support")
     routes = required_routes(chosen)
-    texts = cut(route_texts(dataset, first, terms, routes, config, index))
+    texts = written(route_texts(dataset, first, terms, routes, config, index), "routes")
     hashed = texts.withColumn("text_hash", F.sha2("text", 256))
     once = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    scores = cut(retrieval.bm25_scores(index, retrieval.query_terms(once, ("text_hash",)), ("text_hash",)))
+    scores = written(retrieval.bm25_scores(index, retrieval.query_terms(once, ("text_hash",)), ("text_hash",)), "scores")
     route_scores = hashed.select("query_id", "route", "text_hash").join(scores, "text_hash").drop("text_hash")
     ranked = retrieval.top_k(route_scores, config.top_k, ("query_id", "route"))
 
@@ -139,6 +135,7 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     rankings = parts[0]
     for p in parts[1:]:
         rankings = rankings.unionByName(p)
+    rankings = written(rankings, "rankings")  # metrics and reports all read them
 
     method_texts = texts.withColumnRenamed("route", "method")
     per_query = metrics.per_query_metrics(rankings, dataset.qrels, config.ks)

@@ -7,6 +7,7 @@ if it contains the passage, with grade 1 plus its quality label; `embeddings` st
 from __future__ import annotations
 
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import containment, counterfactual, fusion, leakage, metrics, retrieval, stats
 from .plans import generation, post
-from .plans.session import table
+from .plans.session import fingerprint, new_path, table, written
 from .sources import datasets
 
 
@@ -46,16 +47,26 @@ class Tables:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        pairs = containment.containing(self.documents, self.passages)
+        pairs = containment.containing_indexed(self.index, self.passages)
         labels = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        return pairs.join(labels, "doc_id", "left").select("query_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).cast("int").alias("grade"))
+        return written(pairs.join(labels, "doc_id", "left").select("query_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).cast("int").alias("grade")), "qrels")
+
+    #: Where the index of a session's documents is stored, by what the files were.
+    _stored: ClassVar[dict[tuple, str]] = {}
 
     @cached_property
     def index(self) -> retrieval.LexicalIndex:
-        return retrieval.lexical_index(self.documents)
+        """Built once for a session and its documents, and read by all searches."""
+        key = (self.spark.sparkContext.applicationId, fingerprint(self.spark, f"{self.dir}/documents.parquet"))
+        if key not in self._stored:
+            path = new_path(self.spark, "index")
+            retrieval.store_index(self.documents, path)
+            self._stored[key] = path
+        return retrieval.LexicalIndex.read(self.spark, self._stored[key], self.documents)
 
     def search(self, texts: DataFrame, k: int | None = 10, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-        return retrieval.bm25_search(self.documents, texts, k, keys)
+        """A ranking of k, computed once."""
+        return written(retrieval.bm25_search(self.documents, texts, k, keys, self.index), "ranking")
 
     def routes(self, **exprs: Column) -> DataFrame:
         """(query_id, route, text) of expressions over queries with generated texts."""
@@ -258,8 +269,10 @@ def support_terms(t: Tables) -> DataFrame:
 
 @query(f"""WITH {Q},{INDEX},
     v AS (SELECT term FROM ts WHERE length(term) > 2 AND term NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS)})),
-    h AS (SELECT query_id, term, sha256('13|' || query_id || '|' || term) AS h FROM v CROSS JOIN q WHERE NOT list_contains({TOKENS.format("text")}, term))
-    SELECT query_id, term, place FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY h, term) AS place FROM h) WHERE place <= 10""")
+    n AS (SELECT term, row_number() OVER (ORDER BY sha256('13|' || term), term) - 1 AS pos, count(*) OVER () AS total FROM v),
+    o AS (SELECT query_id, {TOKENS.format("text")} AS own, CAST('0x' || substr(sha256('13|' || query_id), 1, 15) AS BIGINT) % (SELECT count(*) FROM v) AS start FROM q),
+    h AS (SELECT query_id, term, (pos - start + total) % total AS step FROM n CROSS JOIN o WHERE NOT list_contains(own, term))
+    SELECT query_id, term, place FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY step) AS place FROM h) WHERE place <= 10""")
 def random_corpus_terms(t: Tables) -> DataFrame:
     """R11, portable mode."""
     return retrieval.random_terms(t.index.term_stats, t.texts, 10).select("query_id", "term", F.col("place").cast("long").alias("place"))
