@@ -268,7 +268,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = write_table(stars.select("a", "b", "x", "y").mapInArrow(_close(index), "a long, b long"), "pairs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return write_table(docs.join(ids.toDF("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items binary").toDF("rep", "items"), "sets")
+        # the ids grow with the corpus, so they are never sent to all tasks: texts and ids meet by id at every size
+        return write_table(docs.join(ids.toDF("id").hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items binary").toDF("rep", "items"), "sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b"))))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
