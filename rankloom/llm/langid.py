@@ -77,7 +77,8 @@ def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "l
     def pieces(texts: pa.Array, most: pa.Array) -> pa.Array:
         return pa.array([spread(letters(t.encode("utf-8", "surrogatepass")), n) for t, n in zip(texts.to_pylist(), most.to_pylist())], pa.binary())
 
-    near = rows.join(bounds, "lang").where("h <= bound").select("lang", "h", pieces("text", "most").alias("piece"))
+    # a row a language: less than the dictionaries that each worker holds
+    near = rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "h", pieces("text", "most").alias("piece"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     some = near.withColumn("place", place).where(F.col("place") <= TEXTS).select("lang", "place", "piece").collect()
     by: dict[str, list[tuple[int, bytes]]] = {}
