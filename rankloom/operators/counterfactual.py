@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import written
 
 # Hints by which spans are typed, and the vocabulary of aliases.
 ORGANISATION_HINTS = ("inc", "corp", "company", "university", "college", "institute", "agency", "team", "band", "committee")
@@ -55,17 +56,19 @@ def regex_spans(text: Column, include_values: bool = False, legacy_quotes: bool
 
 
 def collect_spans(queries: DataFrame, documents: DataFrame, include_values: bool = False, extractor=regex_spans) -> DataFrame:
-    """C1. (span, type): a span's first type wins, in the order of queries, answers, then documents.
+    """C1. (span, type): a span's first type wins, in the order of queries, answers and their aliases, then documents.
 
-    queries: (query_id, text, answers); documents: (doc_id, text). extractor(text, include_values) -> array column is the
-    point where another recogniser goes in. First-wins is a minimum over (stage, id, place), combined before the shuffle.
+    queries: (query_id, text, answers, answer_aliases if there); documents: (doc_id, text). extractor(text, include_values)
+    -> array column is the point where another recogniser goes in. First-wins is a minimum over (stage, id, place),
+    combined before the shuffle.
     """
     def rows(df: DataFrame, stage: int, key: str, spans: Column) -> DataFrame:
         return df.select(F.lit(stage).alias("stage"), F.col(key).cast("string").alias("id"), F.posexplode(spans).alias("at", "s")).select("stage", "id", "at", "s.span", "s.type")
 
     q = rows(queries, 0, "query_id", extractor(F.col("text"), include_values))
-    answers = F.transform(F.filter(F.coalesce("answers", T.strings()), lambda a: F.length(a) >= 3), lambda a: F.struct(a.alias("span"), entity_type(a, F.col("text")).alias("type")))
-    a = rows(queries, 1, "query_id", F.filter(answers, lambda s: F.lit(include_values) | ~s["type"].isin("NUMBER", "DATE")))
+    known = T.all_answers(F.col("answers"), F.col("answer_aliases") if "answer_aliases" in queries.columns else T.strings())
+    kept = F.filter(known, lambda a: F.lit(include_values) | ~looks_like_value(a))
+    a = rows(queries, 1, "query_id", F.transform(kept, lambda a: F.struct(a.alias("span"), entity_type(a, F.col("text")).alias("type"))))
     text = T.title_and_text(F.col("title"), F.col("text")) if "title" in documents.columns else F.col("text")
     d = rows(documents, 2, "doc_id", extractor(text, include_values))
     return q.unionByName(a).unionByName(d).groupBy("span").agg(F.min_by("type", F.struct("stage", "id", "at")).alias("type"))
@@ -118,28 +121,48 @@ def rename_text(text: str | None, pairs: list[tuple[str, str]]) -> str | None:
     return text
 
 
-def _token_keys(text: Column) -> Column:
-    return F.array_distinct(T.tokens(text))
+def _word_keys(text: Column) -> Column:
+    """Distinct words, lower-cased, of any script: a whole-word match of a source has each of its words as a word."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def _probed(aliases: DataFrame) -> DataFrame:
+    """(ord, source, alias, token): each alias under its source's word that the fewest sources have; null without words."""
+    al = aliases.select("ord", "source", "alias")
+    words = al.select("source", F.explode(_word_keys(F.col("source"))).alias("token"))
+    rarest = words.join(words.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("source").agg(F.min(F.struct("n", "token")).alias("t"))
+    return al.join(rarest, "source", "left").select("ord", "source", "alias", F.col("t.token").alias("token"))
+
+
+def applicable(rows: DataFrame, aliases: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, ord, source, alias): the aliases that can apply to a row, or to what another one of these writes into it.
+
+    Rows and aliases meet by a word of the source, its rarest among the sources, in equi-joins: first by the words of the
+    row, then by the words that the aliases found so far would write, until none comes up. Sources without a word, of
+    punctuation only, meet every row.
+    """
+    al = written(_probed(aliases), "aliases")
+    word = al.where("token is not null")
+    reached = written(rows.select(key, F.explode(_word_keys(text)).alias("token")), "words")
+    found = written(reached.join(word, "token").select(key, "ord", "source", "alias").distinct(), "found")
+    new = found
+    while not new.isEmpty():
+        wrote = new.select(key, F.explode(_word_keys(F.col("alias"))).alias("token")).distinct()
+        new = written(wrote.join(word, "token").select(key, "ord", "source", "alias").distinct().join(found.select(key, "source"), [key, "source"], "left_anti").select(key, "ord", "source", "alias"), "found")
+        found = found.unionByName(new)
+    return found.unionByName(rows.select(key).crossJoin(al.where("token is null").select("ord", "source", "alias")))
 
 
 def rename(df: DataFrame, aliases: DataFrame, key: str, columns: list[str], arrays: list[str] = []) -> DataFrame:
     """C5, C6. Applies an alias table to text columns and arrays of text; originals stay in original_<column>.
 
-    Each row meets only the aliases that can apply: those whose first token is in the row, in equi-joins on tokens. An
-    alias may also become applicable by what another one wrote: sources whose first token occurs in any alias's text meet
-    every row, as do sources without a token. Then the exact, sequential substitution runs over that short list.
+    Each row meets only the aliases that can apply (see applicable()), and the exact, sequential substitution runs over that
+    short list. key: a column of distinct values. A row's list is as long as its words have sources.
     """
     parts = [F.coalesce(c, F.lit("")) for c in columns] + [F.array_join(F.coalesce(c, T.strings()), "\n") for c in arrays]
-    rows = df.withColumn("__all", F.concat_ws("\n", *parts))
-    al = aliases.select("ord", "source", "alias", F.element_at(F.transform(T.tokens(F.col("source")), F.lower), F.when(F.size(T.tokens(F.col("source"))) > 0, 1)).alias("token"))
-    written = al.select(F.explode(_token_keys(F.col("alias"))).alias("token")).distinct()
-    always = al.where("token is null").unionByName(al.join(written, "token", "left_semi").select(al.columns)).distinct()
-    pair = F.struct("ord", "source", "alias")
-    everywhere = always.agg(F.array_sort(F.collect_list(pair)).alias("__always"))  # bounded by the distinct words of the alias vocabulary
-    hits = rows.select(key, F.explode(_token_keys(F.col("__all"))).alias("token")).join(al.where("token is not null"), "token").groupBy(key).agg(F.collect_set(pair).alias("__own"))
-    joined = rows.join(hits, key, "left").crossJoin(everywhere)
-    empty = F.slice("__always", 1, 0)
-    listed = joined.withColumn("__pairs", F.array_sort(F.array_union(F.coalesce("__own", empty), F.col("__always"))))
+    found = applicable(df, aliases, key, F.concat_ws("\n", *parts))
+    pairs = found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("ord", "source", "alias"))).alias("__pairs"))
+    listed = df.join(pairs, key, "left")
 
     @F.arrow_udf("array<string>")
     def apply(values: pa.Array, pairs: pa.Array) -> pa.Array:
@@ -166,21 +189,29 @@ def rename_native(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
+#: Lengths of the beginnings by which a source is looked for.
+GRAMS = (16, 8, 4, 3, 2, 1)
+
+
 def mentions(texts: DataFrame, aliases: DataFrame, key: str, column: str) -> DataFrame:
     """J7, C10. (key, source): sources whose normal form is within a text's.
 
-    Sources are met by their first whole token, in an equi-join, where the token is longer than one letter run's part;
-    containment is by substring, so a source's first token may end a longer word: such texts are found by the suffixes
-    of their tokens, of which a token has as many as letters.
+    Containment is by characters, so a source may begin and end inside longer words. A source is looked for by its first 16,
+    8, 4 or fewer characters, the most that it has; a text has at most as many of each as characters, whatever its words.
     """
-    t = texts.select(key, T.normal_key(F.coalesce(column, F.lit(""))).alias("n"))
-    words = t.select(key, "n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    suffixes = words.select(key, "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))), lambda i: F.substr(F.col("w"), i))).alias("probe"))
-    src = aliases.select("source", T.normal_key(F.col("source")).alias("s")).where("s <> ''").withColumn("one", ~F.contains(F.col("s"), F.lit(" "))).withColumn("probe", F.split_part("s", F.lit(" "), F.lit(1)))
-    many = suffixes.join(src.where("not one"), "probe").where(F.contains("n", F.col("s"))).select(key, "source")
-    # a source of one token may be inside a token: prefixes of suffixes
-    single = suffixes.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("probe"), F.lit(1))), lambda i: F.substring("probe", 1, i))).alias("probe")).join(src.where("one").select("source", "probe"), "probe").select(key, "source")
-    return many.unionByName(single).distinct()
+    n = T.normal_key(F.coalesce(column, F.lit("")))
+    src = aliases.select("source", T.normal_key(F.col("source")).alias("s")).where("s <> ''")
+    size = F.coalesce(*[F.when(F.length("s") >= g, g) for g in GRAMS])
+    src = src.withColumn("g", size).withColumn("probe", F.xxhash64(F.substr(F.col("s"), F.lit(1), F.col("g"))))
+
+    def beginnings(g: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.length("n") - (g - 1)), lambda i: F.xxhash64(F.substr(F.col("n"), i, F.lit(g))))
+        return F.when(F.length("n") >= g, F.array_distinct(all_)).otherwise(F.array().cast("array<bigint>"))
+
+    grams = F.flatten(F.array(*map(beginnings, GRAMS)))
+    t = texts.select(key, n.alias("n"))
+    hits = t.select(key, F.explode(grams).alias("probe")).join(src, "probe").select(key, "source", "s")
+    return t.join(hits, key).where(F.contains("n", F.col("s"))).select(key, "source").distinct()
 
 
 def validation(documents: DataFrame, queries: DataFrame, qrels: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def per_query_metrics(rankings: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20), keys: tuple[str, ...] = ("method",)) -> DataFrame:
     """M1-M4. (keys, query_id, recall@k..., mrr@10, ndcg@10) for every ranked query; 0 where nothing is relevant.
@@ -107,3 +109,32 @@ def bucketed_metrics(per_query: DataFrame, buckets: DataFrame, keys: tuple[str,
 def rate(flag: Column) -> Column:
     """A6, A16. Share of true among non-null flags, null without any."""
     return F.avg(flag.cast("double"))
+
+
+def wrong_answer_verification(texts: DataFrame, wrong: DataFrame, queries: DataFrame) -> DataFrame:
+    """M18. (query_id, candidate, in_wrong_answer_only, in_concat, differs): what the wrong-answer control must fulfil.
+
+    texts: (query_id, method, text); wrong: (query_id, wrong_answer); queries: (query_id, text). Texts are compared with
+    white space and case folded; a method without a text gives nulls.
+    """
+    of = lambda name: F.max(F.when(F.col("method") == name, F.col("text")))
+    both = texts.groupBy("query_id").agg(of("wrong_answer_only").alias("alone"), of("concat_query_wrong_answer").alias("joined"))
+    rows = wrong.select("query_id", F.col("wrong_answer").alias("candidate")).join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(both, "query_id", "left")
+    return rows.select(
+        "query_id", "candidate", T.contains_folded(F.col("alone"), F.col("candidate")).alias("in_wrong_answer_only"), T.contains_folded(F.col("joined"), F.col("candidate")).alias("in_concat"),
+        (T.folded(F.col("joined")) != T.folded(F.col("q"))).alias("differs"),
+    )
+
+
+def integrity_rates(verification: DataFrame) -> DataFrame:
+    """M18, A16. One row: the share of queries that fulfil each condition, of those where it is known."""
+    return verification.agg(*[rate(F.col(c)).alias(f"{c}_rate") for c in ("in_wrong_answer_only", "in_concat", "differs")])
+
+
+def error_bars(per_query: DataFrame, resamples: int = 1000, keys: tuple[str, ...] = ("method", "metric")) -> DataFrame:
+    """B4, M10. (method, metric, n, mean, ci_low, ci_high) over the queries of a run or of record files, by bootstrap."""
+    from . import stats
+
+    long = long_metrics(per_query).select("query_id", *keys, F.col("value").alias("delta"))
+    n = long.groupBy(*keys).agg(F.count("*").alias("n"))
+    return stats.bootstrap_hashed(long, keys, resamples=resamples).join(n, list(keys))

@@ -513,32 +513,33 @@ def win_tie_loss(t: Tables) -> DataFrame:
 
 
 NUMBERED = ", nu AS (SELECT comparison, round(delta, 9) AS delta, row_number() OVER (PARTITION BY comparison ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY comparison) AS n FROM de)"
-_LOW, _HIGH = stats.interval_places(200)
+BOOTSTRAPS, PERMUTATIONS = 500, 1000
+_LOW, _HIGH = stats.interval_places(BOOTSTRAPS)
 
 
 @query(with_(*RUNS, DELTAS + NUMBERED, f"""
-    dr AS (SELECT comparison, n, b, CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % n AS i FROM nu CROSS JOIN range(200) g(b)),
+    dr AS (SELECT comparison, n, b, CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % n AS i FROM nu CROSS JOIN range({BOOTSTRAPS}) g(b)),
     me AS (SELECT comparison, b, round(avg(delta), 9) AS m FROM dr JOIN nu USING (comparison, i) GROUP BY ALL),
     bo AS (SELECT comparison, list_sort(list(m)) AS ms FROM me GROUP BY 1)""",
     then=f"SELECT comparison, 'ndcg@10' AS metric, n, round(mean, 6) AS mean, round(ms[{_LOW + 1}], 6) AS low, round(ms[{_HIGH + 1}], 6) AS high FROM bo JOIN (SELECT comparison, count(*) AS n, avg(delta) AS mean FROM nu GROUP BY 1) USING (comparison)"))
 def bootstrap_ci_hashed(t: Tables) -> DataFrame:
     """M7, M10, portable mode."""
-    return stats.bootstrap_hashed(_deltas(t)).select("comparison", "metric", "n", r6("mean"), r6("low"), r6("high"))
+    return stats.bootstrap_hashed(_deltas(t), resamples=BOOTSTRAPS).select("comparison", "metric", "n", r6("mean"), r6("low"), r6("high"))
 
 
 @query(with_(*RUNS, DELTAS + NUMBERED, """
-    sg AS (SELECT comparison, b, abs(round(avg(delta * CASE WHEN CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END), 9)) AS m FROM nu CROSS JOIN range(200) g(b) GROUP BY ALL),
+    sg AS (SELECT comparison, b, abs(round(avg(delta * CASE WHEN CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END), 9)) AS m FROM nu CROSS JOIN range(1000) g(b) GROUP BY ALL),
     ob AS (SELECT comparison, count(*) AS n, abs(round(avg(delta), 9)) AS o FROM nu GROUP BY 1)""",
-    then="SELECT comparison, 'ndcg@10' AS metric, n, round((count(*) FILTER (WHERE m >= o) + 1) / 201.0e0, 6) AS p_value FROM sg JOIN ob USING (comparison) GROUP BY comparison, n"))
+    then="SELECT comparison, 'ndcg@10' AS metric, n, round((count(*) FILTER (WHERE m >= o) + 1) / 1001.0e0, 6) AS p_value FROM sg JOIN ob USING (comparison) GROUP BY comparison, n"))
 def permutation_hashed(t: Tables) -> DataFrame:
     """M8, portable mode."""
-    return stats.permutation_hashed(_deltas(t)).select("comparison", "metric", "n", r6("p_value"))
+    return stats.permutation_hashed(_deltas(t), resamples=PERMUTATIONS).select("comparison", "metric", "n", r6("p_value"))
 
 
 @query()
 def bootstrap_ci_exact(t: Tables) -> DataFrame:
     """M7, M8, exact mode."""
-    return stats.exact_statistics(_deltas(t), resamples=200)
+    return stats.exact_statistics(_deltas(t), resamples=PERMUTATIONS)
 
 
 @query(with_(*RUNS, DELTAS, then="SELECT comparison, count(*) AS n, round(avg(delta), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(delta) / sqrt(count(*)) ELSE 0 END, 6) AS std_error FROM de GROUP BY 1"))
@@ -548,15 +549,15 @@ def standard_errors(t: Tables) -> DataFrame:
 
 
 @query(with_(*RUNS, DELTAS + NUMBERED, """
-    sg AS (SELECT comparison, b, abs(round(avg(delta * CASE WHEN CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END), 9)) AS m FROM nu CROSS JOIN range(200) g(b) GROUP BY ALL),
+    sg AS (SELECT comparison, b, abs(round(avg(delta * CASE WHEN CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END), 9)) AS m FROM nu CROSS JOIN range(1000) g(b) GROUP BY ALL),
     ob AS (SELECT comparison, abs(round(avg(delta), 9)) AS o FROM nu GROUP BY 1),
-    pv AS (SELECT comparison, (count(*) FILTER (WHERE m >= o) + 1) / 201.0e0 AS p FROM sg JOIN ob USING (comparison) GROUP BY comparison),
+    pv AS (SELECT comparison, (count(*) FILTER (WHERE m >= o) + 1) / 1001.0e0 AS p FROM sg JOIN ob USING (comparison) GROUP BY comparison),
     rk AS (SELECT *, row_number() OVER (ORDER BY p, comparison) AS r, count(*) OVER () AS m FROM pv)""",
     then="""SELECT comparison, round(p, 6) AS p_value, round(max(least(1.0e0, (m - r + 1) * p)) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING), 6) AS holm,
         round(min(least(1.0e0, m / CAST(r AS DOUBLE) * p)) OVER (ORDER BY p, comparison ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS benjamini_hochberg FROM rk"""))
 def corrected_p_values(t: Tables) -> DataFrame:
     """2.20."""
-    return stats.corrected(stats.permutation_hashed(_deltas(t))).select("comparison", r6("p_value"), r6("holm"), r6("benjamini_hochberg"))
+    return stats.corrected(stats.permutation_hashed(_deltas(t), resamples=PERMUTATIONS)).select("comparison", r6("p_value"), r6("holm"), r6("benjamini_hochberg"))
 
 
 AUDITED = [("concat_query_raw_expected", "raw_expected_then_query"), ("query_only", "query_repeated"), ("gold_answer_only", "passage")]
