@@ -7,7 +7,7 @@ broadcasts a side only under its size limit, and otherwise shuffles on the key,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.session import written
+from ..plans.session import new_path, written
 
 K1, B = 1.5, 0.75
+RRF_CONSTANT = 60
 DIGITS = 9
 
 
@@ -127,16 +128,20 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, keys: tuple[str, ...] = (
     return impact.join(own, "term").groupBy(*keys, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
 
 
-def bm25_search(documents: DataFrame, texts: DataFrame, k: int | None = 10, keys: tuple[str, ...] = ("query_id",), index: LexicalIndex | None = None) -> DataFrame:
-    """R2 with R13: equal texts are scored once, under a number, then joined back to their keys."""
+def _by_text(documents: DataFrame, texts: DataFrame, keys: tuple[str, ...], index: LexicalIndex | None, ranked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Equal texts are scored once, under a number, then joined back to their keys."""
     hashed = texts.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     once = written(hashed.select("text_hash", "text").dropDuplicates(["text_hash"]).withColumn("text_no", F.monotonically_increasing_id()), "texts")
     terms = query_terms(once, ("text_no",))
-    base = narrowed(index or lexical_index(documents), terms)
-    scores = top_k(bm25_scores(base, terms, ("text_no",)), k, ("text_no",))
+    scores = ranked(bm25_scores(narrowed(index or lexical_index(documents), terms), terms, ("text_no",)))
     return hashed.select(*keys, "text_hash").join(once.select("text_hash", "text_no"), "text_hash").join(scores, "text_no").drop("text_hash", "text_no")
 
 
+def bm25_search(documents: DataFrame, texts: DataFrame, k: int | None = 10, keys: tuple[str, ...] = ("query_id",), index: LexicalIndex | None = None) -> DataFrame:
+    """R2 with R13: (keys, doc_id, score, rank)."""
+    return _by_text(documents, texts, keys, index, lambda s: top_k(s, k, ("text_no",)))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Double-precision dot product of two arrays; components are cast before they are multiplied."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -165,6 +170,63 @@ def encode_texts(df: DataFrame, encoder, dim: int, text_col: str = "text", prefi
     return df.withColumn("embedding", run(F.col(text_col)))
 
 
+@dataclass
+class Retriever:
+    """R6. One of the kinds `bm25`, `dense` and `hybrid` (or `lexical_neural`) over a corpus: scores and rankings of texts.
+
+    index: for bm25 and hybrid; vectors (doc_id, embedding), encoder, dim and prefix: for dense and hybrid.
+    """
+
+    kind: str
+    n_documents: int
+    documents: DataFrame
+    index: LexicalIndex | None = None
+    vectors: DataFrame | None = None
+    encoder: Callable | None = None
+    dim: int = 0
+    prefix: str = ""
+
+    def _dense(self, texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """Equal texts are encoded and compared once."""
+        hashed = texts.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+        once = written(encode_texts(hashed.select("text_hash", "text").dropDuplicates(["text_hash"]), self.encoder, self.dim, prefix=self.prefix).select("text_hash", "embedding"), "query-vectors")
+        return hashed.select(*keys, "text_hash").join(dense_scores(self.vectors, once, ("text_hash",)), "text_hash").drop("text_hash")
+
+    def scores(self, texts: DataFrame, keys: tuple[str, ...] = ("query_id",), k: int = 10) -> DataFrame:
+        """(keys, doc_id, score): of every document with a term (bm25), of all documents (dense), or of the pool (hybrid)."""
+        if self.kind == "bm25":
+            return _by_text(self.documents, texts, keys, self.index, lambda s: s)
+        if self.kind == "dense":
+            return self._dense(texts, keys)
+        return self.search(texts, None, keys, k)
+
+    def search(self, texts: DataFrame, k: int | None = 10, keys: tuple[str, ...] = ("query_id",), pool_k: int = 10) -> DataFrame:
+        """Rankings of k documents; a hybrid fuses both rankings cut at max(k, min(N, 10 k))."""
+        if self.kind == "bm25":
+            return bm25_search(self.documents, texts, k, keys, self.index)
+        if self.kind == "dense":
+            return top_k(self._dense(texts, keys), k, keys)
+        pool = max(k or pool_k, min(self.n_documents, 10 * (k or pool_k)))
+        both = bm25_search(self.documents, texts, pool, keys, self.index).select(*keys, "doc_id", "rank").unionByName(top_k(self._dense(texts, keys), pool, keys).select(*keys, "doc_id", "rank"))
+        return top_k(both.groupBy(*keys, "doc_id").agg(F.sum(1.0 / (RRF_CONSTANT + F.col("rank"))).alias("score")), k, keys)
+
+
+def make_retriever(kind: str, documents: DataFrame, path: str | None = None, encoder: Callable | None = None, dim: int = 0, prefix: str = "", index: LexicalIndex | None = None, vectors: DataFrame | None = None) -> Retriever:
+    """R6. documents(doc_id, text). The index and the vectors are built once, under path or in the shared folder, unless
+    given. encoder() makes, once a worker, a function from texts to (n, dim) arrays; only the query gets the prefix."""
+    if kind not in ("bm25", "dense", "hybrid", "lexical_neural"):
+        raise ValueError(f"unknown kind of retriever: {kind}")
+    if kind == "lexical_neural":
+        kind = "hybrid"
+    if kind != "dense" and index is None:
+        index = store_index(documents, path or new_path(documents.sparkSession, "index"))
+    if kind != "bm25" and vectors is None:
+        if encoder is None:
+            raise ValueError("dense and hybrid retrieval need an encoder")
+        vectors = written(encode_texts(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), encoder, dim).select("doc_id", "embedding"), "vectors")
+    return Retriever(kind, documents.count(), documents, index, vectors, encoder, dim, prefix)
+
+
 def rm3_terms(index: LexicalIndex, first_pass: DataFrame, query_text: DataFrame, fb_docs: int = 10, fb_terms: int = 10) -> DataFrame:
     """R7, first half: (query_id, term, score, repeats) from the top documents of each query.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import datetime
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, leakage, metrics, retrieval
-from ..sources.datasets import Dataset
+from ..operators import counterfactual, fusion, leakage, metrics, retrieval
+from ..sources.datasets import Dataset, completed_queries, fingerprint, record_rankings, remaining_queries
 from . import generation
 from .methods import Method, registry, required_routes, route_expression, select_methods
 from .session import new_path, written
@@ -40,6 +42,10 @@ class Config:
     control_terms: int = 10
     seed: int = 13
     methods: tuple[str, ...] | None = None
+    retriever: str = "bm25"
+    encoder: Callable | None = None
+    dim: int = 0
+    query_prefix: str = "Represent this sentence for searching relevant passages: "
 
 
 @dataclass
@@ -86,16 +92,14 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     if config.methods is not None:
         chosen = {n: m for n, m in chosen.items() if n in config.methods}
     docs, q = dataset.documents, dataset.queries
-    index = retrieval.store_index(docs.select("doc_id", "text"), new_path(docs.sparkSession, "index"))
+    index = retrieval.store_index(docs.select("doc_id", "text"), new_path(docs.sparkSession, "index"))  # also for support and controls
+    engine = retrieval.make_retriever(config.retriever, docs.select("doc_id", "text"), None, config.encoder, config.dim, config.query_prefix, index)
     own = q.select("query_id", "text")
-    first = written(retrieval.bm25_search(docs, own, max(config.top_k, 20), index=index), "ranking")
+    first = written(engine.search(own, max(config.top_k, 20)), "ranking")
     terms = written(retrieval.support_terms(docs, first, own), "support")
     routes = required_routes(chosen)
     texts = written(route_texts(dataset, first, terms, routes, config, index), "routes")
-    hashed = texts.withColumn("text_hash", F.sha2("text", 256))
-    once = hashed.select("text_hash", "text").dropDuplicates(["text_hash"])
-    scores = written(retrieval.bm25_scores(index, retrieval.query_terms(once, ("text_hash",)), ("text_hash",)), "scores")
-    route_scores = hashed.select("query_id", "route", "text_hash").join(scores, "text_hash").drop("text_hash")
+    route_scores = written(engine.scores(texts, ("query_id", "route"), config.top_k), "scores")
     ranked = retrieval.top_k(route_scores, config.top_k, ("query_id", "route"))
 
     parts: list[DataFrame] = []
@@ -118,7 +122,7 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     if adaptive or adaptive_beta:
         need = [r for r in feature_routes if r in routes] or feature_routes
         feature_texts = texts.where(F.col("route").isin(*need)) if all(r in routes for r in need) else route_texts(dataset, first, terms, tuple(feature_routes), config)
-        feature_ranks = ranked if all(r in routes for r in need) else retrieval.bm25_search(docs, feature_texts, config.top_k, ("query_id", "route"), index)
+        feature_ranks = ranked if all(r in routes for r in need) else engine.search(feature_texts, config.top_k, ("query_id", "route"))
         features = fusion.route_features(docs, own, feature_texts.select("query_id", "route", F.col("text").alias("route_text")), first, feature_ranks)
         if adaptive:
             parts.append(fusion.weighted_rrf(ranked, fusion.safe_v1_spec(features, valid), config.top_k).select(columns))
@@ -131,7 +135,7 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
         base = route_scores.where("route = 'query_only'").select("query_id", F.explode(F.array(*[F.lit(m.name) for m in weighted])).alias("method"), "doc_id", "score")
         parts.append(fusion.anchor_weighted(base, uses, F.col("beta"), config.top_k, ("query_id", "method")).select(columns))
     if any(m.mode == "subquery_rrf" for m in chosen.values()):
-        parts.append(subquery_fusion(dataset, own, first, ranked, terms, index, config).select(columns))
+        parts.append(subquery_fusion(dataset, own, first, ranked, terms, engine, config).select(columns))
     rankings = parts[0]
     for p in parts[1:]:
         rankings = rankings.unionByName(p)
@@ -146,12 +150,13 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
         "rescue": metrics.mean_deltas(per_query, RESCUE), "dominance": metrics.mean_deltas(per_query, DOMINANCE), "position": metrics.mean_deltas(per_query, POSITION),
         "deltas": metrics.paired_deltas(per_query, PRIMARY, tuple(c for c in per_query.columns if "@" in c)), "diagnostics": metrics.retrieval_diagnostics(method_texts, rankings, dataset.qrels),
         "bucket_metrics": metrics.bucketed_metrics(per_query, scores_.where("method = 'raw_expected_answer_only'").select("query_id", "bucket")),
-        "coverage": metrics.qrel_coverage(q, dataset.qrels, docs),
+        "coverage": metrics.qrel_coverage(q, dataset.qrels, docs), "error_bars": metrics.error_bars(per_query.where("judged")),
+        "integrity": metrics.integrity_rates(metrics.wrong_answer_verification(method_texts, generation.wrong_answers(q), q)),
     }
     return Result(chosen, method_texts, rankings, per_query, macro, scores_, reports)
 
 
-def subquery_fusion(dataset: Dataset, own: DataFrame, first: DataFrame, ranked: DataFrame, terms: DataFrame, index: retrieval.LexicalIndex, config: Config) -> DataFrame:
+def subquery_fusion(dataset: Dataset, own: DataFrame, first: DataFrame, ranked: DataFrame, terms: DataFrame, engine: retrieval.Retriever, config: Config) -> DataFrame:
     """X9-X11. Sub-queries as further routes: searched, weighted, selected, and fused with the query."""
     support = retrieval.support_context(dataset.documents, first, terms)
     g = generation.generate_templates(dataset.queries, support).select("query_id", F.col("text").alias("query"), "subqueries", F.coalesce("support_terms", T.strings()).alias("support_terms"))
@@ -159,7 +164,7 @@ def subquery_fusion(dataset: Dataset, own: DataFrame, first: DataFrame, ranked:
     role = lambda values, name: F.transform(values, lambda v: F.struct(F.lit(name).alias("role"), v.alias("subquery")))
     roles = F.concat(role(s["relation_queries"], "relation"), role(s["evidence_queries"], "evidence"), role(F.array(s["answer_slot_query"]), "answer_slot"), role(F.array(s["bridge_query"]), "bridge"))
     rows = g.select("query_id", "query", "support_terms", F.posexplode(F.filter(roles, lambda r: F.trim(r["subquery"]) != "")).alias("at", "r")).select("query_id", "query", "support_terms", F.concat(F.lit("sub"), F.col("at").cast("string")).alias("route"), "r.role", "r.subquery")
-    searched = retrieval.bm25_search(dataset.documents, rows.select("query_id", "route", F.col("subquery").alias("text")), config.top_k, ("query_id", "route"), index)
+    searched = engine.search(rows.select("query_id", "route", F.col("subquery").alias("text")), config.top_k, ("query_id", "route"))
     features = fusion.route_features(dataset.documents, own, rows.select("query_id", "route", F.col("subquery").alias("route_text")), first, searched)
     weighted = fusion.subquery_weights(rows.join(features, ["query_id", "route"]))
     picked = fusion.select_subqueries(weighted).join(rows.select("query_id", "route", "role", "subquery"), ["query_id", "role", "subquery"])
@@ -168,3 +173,56 @@ def subquery_fusion(dataset: Dataset, own: DataFrame, first: DataFrame, ranked:
     spec = spec.unionByName(own.select("query_id", name.alias("method"), F.lit("query_only").alias("route"), F.lit(1.0).alias("weight")))
     pool = ranked.where("route = 'query_only'").select("query_id", "route", "doc_id", "rank").unionByName(searched.select("query_id", "route", "doc_id", "rank"))
     return fusion.weighted_rrf(pool, spec, config.top_k)
+
+
+def summary(dataset: Dataset, config: Config, result: Result, restored: int = 0) -> dict:
+    """S21. The run's summary as one object for datasets.write_json(): what ran, on what, and its reports.
+
+    Reports are tables of a row for a method, comparison or query class; those of a row a query (diagnostics, coverage,
+    deltas) stay tables, in the record files.
+    """
+    rows = lambda df, order: [r.asDict(recursive=True) for r in df.orderBy(order).collect()]
+    dense = config.retriever != "bm25"
+    return {
+        "dataset": dataset.name, "dataset_metadata": dataset.manifest, "num_corpus": dataset.documents.count(), "num_queries": dataset.queries.count(),
+        "num_qrels_queries": dataset.qrels.where("grade > 0").select("query_id").distinct().count(), "retriever": config.retriever, "query_prefix": config.query_prefix if dense else None,
+        "method_profile": config.profile, "answer_rrf_weights": list(config.rrf_weights), "fawe_betas": list(config.betas), "include_rm3_baseline": config.rm3, "include_fawe_controls": config.controls, "include_fawe_beta_grid": config.grid,
+        "rm3_params": {"fb_docs": config.fb_docs, "fb_terms": config.fb_terms, "original_query_weight": config.original_weight} if config.rm3 else None,
+        "methods_evaluated": list(result.methods), "top_k": config.top_k, "metric_ks": list(config.ks), "finished": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"),
+        "resume_summary": {"queries_completed_from_checkpoint": restored}, "frozen_primary_metrics": list(PRIMARY_METRICS), "frozen_primary_comparisons": [f"{a}__vs__{b}" for a, b in PRIMARY],
+        "metrics": {r.pop("method"): r for r in rows(result.metrics, "method")}, "metric_error_bars": rows(result.reports["error_bars"], ["method", "metric"]), "method_ranking": rows(result.reports["method_ranking"], "place"),
+        "method_leakage_summary": rows(result.reports["leakage_summary"], "method"), "concatenation_rescue_summary": rows(result.reports["rescue"], "comparison"), "query_dominance_summary": rows(result.reports["dominance"], "comparison"),
+        "dense_position_audit": rows(result.reports["position"], "comparison"), "duplicate_method_audit": rows(result.reports["duplicates"], ["method_a", "method_b"]), "integrity_summary": rows(result.reports["integrity"], "differs_rate")[0],
+    }
+
+
+def resume(dataset: Dataset, config: Config, records: DataFrame, context: dict[str, str]) -> tuple[Dataset, DataFrame]:
+    """S18, S19. The dataset as far as its queries are not done yet, and the rankings (query_id, method, doc_id, rank, score)
+    of those that are, restored from records: run() the first, and add the second to its rankings."""
+    chosen = select_methods(registry(config.betas, config.rrf_weights, config.rm3, config.grid, config.controls), config.profile)
+    names = [n for n in chosen if config.methods is None or n in config.methods]
+    done = written(completed_queries(records, dataset.queries, context, names).select("query_id").distinct(), "done")
+    w = Window.partitionBy("query_id").orderBy(F.col("ord").desc())
+    last = records.join(done, "query_id", "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    kept = record_rankings(last).where(F.col("method").isin(*names))
+    return replace(dataset, queries=remaining_queries(dataset.queries, done)), kept
+
+
+def build_counterfactual(dataset: Dataset, style: str = "natural", include_values: bool = False, seed: int = 13, extractor=None) -> tuple[Dataset, DataFrame, DataFrame]:
+    """C7. A renamed copy of a dataset: (dataset, aliases, validation). Judgements stay; the manifest says what was done.
+
+    Spans of queries, answers and documents get aliases; documents, queries, answers, their aliases and supporting facts are
+    renamed by the same table, and keep their originals.
+    """
+    spans = counterfactual.collect_spans(dataset.queries, dataset.documents, include_values, *([extractor] if extractor else []))
+    aliases = written(counterfactual.alias_table(spans, style), "aliases")
+    has = lambda df, names: [c for c in names if c in df.columns]
+    docs = written(counterfactual.rename(dataset.documents.drop("original_text"), aliases, "doc_id", has(dataset.documents, ["text", "title"])), "documents")
+    queries = written(counterfactual.rename(dataset.queries.drop("original_text"), aliases, "query_id", ["text"], has(dataset.queries, ["answers", "answer_aliases", "supporting_facts"])), "queries")
+    name = f"{dataset.name}__entity_counterfactual_{style}{'_with_values' if include_values else ''}"
+    manifest = {
+        **dataset.manifest, "variant": "entity_counterfactual", "counterfactual_regime": "entity_and_value" if include_values else "entity", "alias_style": style, "include_values": include_values, "seed": seed,
+        "alias_table_size": aliases.count(), "source_dataset_name": dataset.name, "source_document_count": dataset.documents.count(), "source_query_count": dataset.queries.count(), "source_dataset_fingerprint": fingerprint(dataset),
+    }
+    renamed = Dataset(name, docs, queries, dataset.qrels, manifest)
+    return renamed, aliases, counterfactual.validation(docs, queries, dataset.qrels, aliases)

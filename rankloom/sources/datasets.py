@@ -296,8 +296,9 @@ def remaining_queries(queries: DataFrame, completed: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, keep_duplicates: bool = False, tolerant: bool = True) -> DataFrame:
     """S18, S23, F-6. Run records (query_id, rankings as rows, qrels as rows): bad lines are dropped if tolerant, the last
     record of a query wins unless duplicates are kept."""
-    schema = "query_id string, query string, rankings map<string,array<array<string>>>, qrels map<string,int>, retrieval_strings map<string,string>, generation map<string,string>"
+    schema = "query_id string, query string, rankings map<string,array<array<string>>>, qrels map<string,int>, retrieval_strings map<string,string>, generation map<string,string>, checkpoint_context map<string,string>"
     lines = spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path).where("query_id is not null").withColumn("ord", F.monotonically_increasing_id())
+    lines = lines.withColumn("methods", F.coalesce(F.map_keys("rankings"), T.strings())).withColumn("context", F.coalesce("checkpoint_context", F.create_map().cast("map<string,string>"))).drop("checkpoint_context")
     if keep_duplicates:
         return lines
     return lines.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("ord").desc()))).where("__r = 1").drop("__r")
@@ -320,13 +321,21 @@ def run_files(spark: SparkSession, glob: str, pattern: str) -> DataFrame:
     return files.select("file", F.array(*[F.regexp_extract("file", pattern, i + 1) for i in range(n)]).alias("groups"))
 
 
-def write_records(rankings: DataFrame, qrels: DataFrame, texts: DataFrame, path: str, mode: str = "append") -> None:
-    """S20, S22. A JSON line for each query; an append is a commit of its own, so a lost driver loses one batch."""
+def write_records(rankings: DataFrame, qrels: DataFrame, texts: DataFrame, path: str, mode: str = "append", queries: DataFrame | None = None, context: dict[str, str] | None = None) -> None:
+    """S20, S22. A JSON line for each query; an append is a commit of its own, so a lost driver loses one batch.
+
+    queries (query_id, text) and context are what resuming compares: the query's text, and what the run was made with.
+    """
     lists = rankings.groupBy("query_id", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))), lambda x: F.array(x["doc_id"].cast("string"), x["score"].cast("string"))).alias("l"))
     ranked = lists.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "l"))).alias("rankings"))
     judged = qrels.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "grade"))).alias("qrels"))
     strings = texts.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "text"))).alias("retrieval_strings"))
-    ranked.join(judged, "query_id", "left").join(strings, "query_id", "left").write.mode(mode).json(path)
+    out = ranked.join(judged, "query_id", "left").join(strings, "query_id", "left")
+    if queries is not None:
+        out = out.join(queries.select("query_id", F.col("text").alias("query")), "query_id", "left")
+    if context:
+        out = out.withColumn("checkpoint_context", F.create_map(*[F.lit(str(x)) for kv in context.items() for x in kv]))
+    out.write.mode(mode).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

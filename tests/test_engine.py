@@ -177,6 +177,103 @@ def test_pipeline_on_toy(spark, toy):
     assert rows["query_only"]["ndcg@10"] == pytest.approx(rows["query_repeated"]["ndcg@10"])
 
 
+def _encoder():
+    """An encoder that counts letters; made here, so that workers need not import this file."""
+
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[t.lower().count(c) + 0.01 for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts])
+
+    return make
+
+
+_letters = _encoder()
+
+
+def test_kinds_of_retrievers(spark, toy):
+    import numpy as np
+
+    docs, q = toy.documents.select("doc_id", "text"), toy.queries.select("query_id", "text")
+    dense = retrieval.make_retriever("dense", docs, encoder=_letters, dim=26, prefix="find: ")
+    unit = lambda t: (lambda v: v / np.linalg.norm(v))(_letters()([t])[0].astype(np.float32))
+    vec = {r.doc_id: unit(r.text).astype(float) for r in docs.collect()}
+    ranked, want = {}, {}
+    for r in q.collect():
+        own = unit("find: " + r.text).astype(float)
+        want[r.query_id] = sorted(vec, key=lambda d: (-round(float(own @ vec[d]), 9), d))
+    for r in dense.search(q, None).orderBy("rank").collect():
+        ranked.setdefault(r.query_id, []).append(r.doc_id)
+    assert ranked == want
+    lexical = retrieval.make_retriever("bm25", docs)
+    lex = {}
+    for r in lexical.search(q, 10).orderBy("rank").collect():
+        lex.setdefault(r.query_id, []).append(r.doc_id)
+    hybrid = retrieval.make_retriever("lexical_neural", docs, encoder=_letters, dim=26, prefix="find: ")
+    for r in hybrid.search(q, 3).collect():
+        both = [1 / (61 + lst.index(r.doc_id)) for lst in (lex[r.query_id], want[r.query_id]) if r.doc_id in lst]
+        assert r.score == pytest.approx(sum(both))
+    with pytest.raises(ValueError):
+        retrieval.make_retriever("sparse", docs)
+    with pytest.raises(ValueError):
+        retrieval.make_retriever("dense", docs)
+
+
+@pytest.mark.parametrize("kind", ["dense", "hybrid"])
+def test_pipeline_with_other_retrievers(spark, toy, kind):
+    result = pipeline.run(toy, pipeline.Config(methods=("query_only", "concat_query_raw_expected", "fawe_raw_expected_beta0p25"), retriever=kind, encoder=_letters, dim=26))
+    assert {r.method for r in result.metrics.collect()} == set(result.methods)
+
+
+def test_summary_records_and_resume(spark, toy, tmp_path):
+    config = pipeline.Config(methods=("query_only", "query_repeated", "concat_query_wrong_answer", "wrong_answer_only"))
+    result, context = pipeline.run(toy, config), {"retriever": "bm25", "top_k": "20"}
+    summary = pipeline.summary(toy, config, result)
+    datasets.write_json(spark, f"file://{tmp_path}/summary.json", summary)
+    assert set(summary["metrics"]) == set(config.methods) and summary["integrity_summary"]["in_wrong_answer_only_rate"] == 1.0 and summary["num_corpus"] == 5
+    assert all(b["low"] <= b["mean"] <= b["high"] for b in summary["metric_error_bars"])
+    some = toy.queries.where("query_id <> 'q2'").select("query_id")
+    datasets.write_records(result.rankings.join(some, "query_id"), toy.qrels, result.texts, f"file://{tmp_path}/records", queries=toy.queries, context=context)
+    records = datasets.read_records(spark, f"file://{tmp_path}/records")
+    rest, restored = pipeline.resume(toy, config, records, context)
+    assert [r.query_id for r in rest.queries.collect()] == ["q2"]
+    key = lambda df: sorted((r.query_id, r.method, r.doc_id, r.rank) for r in df.collect())
+    assert key(restored) == key(result.rankings.where("query_id <> 'q2'"))
+    assert pipeline.resume(toy, config, records, {"retriever": "dense"})[0].queries.count() == 3
+
+
+def test_counterfactual_build_renames_aliases_of_answers(spark, toy):
+    built, aliases, validation = pipeline.build_counterfactual(toy)
+    table = {r.source: r.alias for r in aliases.collect()}
+    known = {a for q in toy.queries.collect() for a in [*q.answers, *q.answer_aliases]}
+    assert known <= set(table) and built.manifest["alias_table_size"] == len(table)
+    text = {r.doc_id: r for r in built.documents.collect()}
+    pairs = [(r.source, r.alias) for r in aliases.orderBy("ord").collect()]
+    for d in toy.documents.collect():
+        assert text[d.doc_id].text == counterfactual.rename_text(d.text, pairs) and text[d.doc_id].original_text == d.text
+    for q in built.queries.collect():
+        assert not set(q.answers + q.answer_aliases) & known
+    (v,) = validation.collect()
+    assert v.alias_count == len(table) and v.answer_preservation_rate == 1.0 and v.residual_corpus_sources == 0
+
+
+def test_aliases_meet_what_other_aliases_write(spark):
+    docs = spark.createDataFrame([("1", "Zed met Bob-Ann. - x"), ("2", "nothing"), ("3", None), ("4", "q ... Été")], "doc_id string, text string")
+    rows = [((-9, "a"), "Bob-Ann", "Lake Varos"), ((-8, "b"), "Lake", "Region Talor"), ((-7, "c"), "Talor", "End"), ((-6, "d"), "Été", "Ete"), ((-5, "e"), "Nobody", "x")]
+    table = spark.createDataFrame(rows, "ord struct<len: int, low: string>, source string, alias string")
+    got = {r.doc_id: r.text for r in counterfactual.rename(docs, table, "doc_id", ["text"]).collect()}
+    assert got == {"1": "Zed met Region End Varos. - x", "2": "nothing", "3": None, "4": "q ... Ete"}
+
+
+def test_mentions_equal_containment(spark):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("ab c-") for _ in range(n))
+    texts, sources = [(i, make(rng.randint(0, 60))) for i in range(60)] + [(99, None)], sorted({make(rng.randint(1, 22)) for _ in range(80)})
+    got = counterfactual.mentions(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(s,) for s in sources], "source string"), "id", "t").collect()
+    key = lambda s: " ".join(re.sub("[^a-z0-9]+", " ", (s or "").lower()).split())
+    assert {tuple(r) for r in got} == {(i, s) for i, t in texts for s in sources if key(s) and key(s) in key(t)}
+
+
 def test_store_appends_only_missing(spark, tmp_path):
     store = datasets.embedding_store(spark, f"file://{tmp_path}/e")
     row = lambda i: spark.createDataFrame([("m", i, "h", [1.0])], "model string, doc_id string, text_sha256 string, embedding array<float>")
