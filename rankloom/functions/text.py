@@ -118,7 +118,7 @@ def quoted(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """F6. Quoted spans, capitalised runs, dates, numbers, in this order; the first of each lower-cased value."""
     spans = F.concat(
-        F.filter(F.transform(quoted(text), F.trim), lambda v: v != ""),
+        F.filter(F.transform(quoted(text), lambda v: F.trim(v)), lambda v: v != ""),
         F.filter(extract(text, CAPITALISED_5), lambda v: ~v.isin(*ARTICLES)),
         extract(text, DATE),
         extract(text, NUMBER),
@@ -140,7 +140,7 @@ def anchors(text: Column) -> Column:
 
 def named_anchors(text: Column) -> Column:
     """F9. Quoted spans, then runs of capitalised or all-capital words with small words inside."""
-    spans = F.filter(F.transform(F.concat(quoted(text), extract(text, NAMED)), F.trim), lambda v: (v != "") & ~v.isin(*NAMED_BANNED))
+    spans = F.filter(F.transform(F.concat(quoted(text), extract(text, NAMED)), lambda v: F.trim(v)), lambda v: (v != "") & ~v.isin(*NAMED_BANNED))
     return first_by_key(spans, F.lower)
 
 
@@ -350,7 +350,7 @@ def title_and_text(title: Column, text: Column) -> Column:
 
 def cleaned_list(values: Column) -> Column:
     """P3. Stripped non-empty values; null is empty."""
-    return F.filter(F.transform(F.coalesce(values, strings()), F.trim), lambda v: v.isNotNull() & (v != ""))
+    return F.filter(F.transform(F.coalesce(values, strings()), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
 
 
 def weight_suffix(weight: float) -> str:

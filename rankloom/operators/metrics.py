@@ -132,9 +132,8 @@ def integrity_rates(verification: DataFrame) -> DataFrame:
 
 
 def error_bars(per_query: DataFrame, resamples: int = 1000, keys: tuple[str, ...] = ("method", "metric")) -> DataFrame:
-    """B4, M10. (method, metric, n, mean, ci_low, ci_high) over the queries of a run or of record files, by bootstrap."""
+    """B4, M10. (method, metric, n, mean, low, high) over the queries of a run or of record files, by bootstrap."""
     from . import stats
 
     long = long_metrics(per_query).select("query_id", *keys, F.col("value").alias("delta"))
-    n = long.groupBy(*keys).agg(F.count("*").alias("n"))
-    return stats.bootstrap_hashed(long, keys, resamples=resamples).join(n, list(keys))
+    return stats.bootstrap_hashed(long, keys, resamples=resamples)

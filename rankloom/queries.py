@@ -977,3 +977,150 @@ def generation_cache(t: Tables) -> DataFrame:
     new = t.texts.select(F.lit("new").alias("namespace"), F.lit("hyde").alias("task"), sha.alias("text_sha256"), F.when(F.col("query_id") % 4 == 0, F.lit("")).otherwise(made).alias("output_text"))
     hits, misses = generation.cached(req, new.unionByName(old), ["new", "old"])
     return hits.select("query_id", "output_text", F.lit(True).alias("hit")).unionByName(misses.select("query_id", F.lit(None).cast("string").alias("output_text"), F.lit(False).alias("hit")))
+
+
+# -- forms, controls and files ------------------------------------------------
+
+FOLD = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+WRONG = """
+    n AS (SELECT query_id, text, lead(answer) OVER (ORDER BY query_id) AS a, first_value(answer) OVER (ORDER BY query_id) AS f, count(*) OVER () AS c FROM q),
+    wr AS (SELECT query_id, text, CASE WHEN c = 1 THEN 'Wrong Candidate' ELSE coalesce(a, f) END AS wrong FROM n)"""
+
+
+def _verified(t: Tables) -> DataFrame:
+    wrong = generation.wrong_answers(t.queries)
+    both = t.texts.join(wrong, "query_id")
+    form = lambda name, c: both.select("query_id", F.lit(name).alias("method"), c.alias("text"))
+    rows = form("wrong_answer_only", F.col("wrong_answer")).unionByName(form("concat_query_wrong_answer", F.concat_ws("\n", "text", "wrong_answer")))
+    return metrics.wrong_answer_verification(rows, wrong, t.texts)
+
+
+VERIFIED = f"""
+    ve AS (SELECT query_id, wrong AS candidate, {FOLD.format('wrong')} <> '' AND contains({FOLD.format('wrong')}, {FOLD.format('wrong')}) AS in_wrong_answer_only,
+        {FOLD.format('wrong')} <> '' AND contains({FOLD.format("text || chr(10) || wrong")}, {FOLD.format('wrong')}) AS in_concat, {FOLD.format("text || chr(10) || wrong")} <> {FOLD.format('text')} AS differs FROM wr)"""
+
+
+@query(with_(Q, WRONG, VERIFIED, then="SELECT query_id, candidate, in_wrong_answer_only, in_concat, differs FROM ve"))
+def wrong_answer_checks(t: Tables) -> DataFrame:
+    """M18, F3, F4."""
+    return _verified(t)
+
+
+@query(with_(Q, WRONG, VERIFIED, then="SELECT avg(in_wrong_answer_only::INT) AS in_wrong_answer_only_rate, avg(in_concat::INT) AS in_concat_rate, avg(differs::INT) AS differs_rate FROM ve"))
+def integrity_rates(t: Tables) -> DataFrame:
+    """A16, M18."""
+    return metrics.integrity_rates(_verified(t))
+
+
+@query(with_(*RUNS, f"""
+    lo AS (SELECT method, 'ndcg@10' AS metric, query_id, ndcg10 AS v FROM pq WHERE judged UNION ALL SELECT method, 'mrr@10', query_id, mrr10 FROM pq WHERE judged
+        UNION ALL SELECT method, 'recall@5', query_id, recall5 FROM pq WHERE judged UNION ALL SELECT method, 'recall@10', query_id, recall10 FROM pq WHERE judged),
+    nu AS (SELECT method, metric, v, row_number() OVER (PARTITION BY method, metric ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY method, metric) AS n FROM lo),
+    dr AS (SELECT method, metric, n, b, CAST('0x' || substr(sha256('13|' || b || '|' || i), 1, 8) AS BIGINT) % n AS i FROM nu CROSS JOIN range({BOOTSTRAPS}) g(b)),
+    me AS (SELECT method, metric, b, round(avg(v), 9) AS m FROM dr JOIN nu USING (method, metric, i) GROUP BY ALL),
+    bo AS (SELECT method, metric, list_sort(list(m)) AS ms FROM me GROUP BY ALL)""",
+    then=f"SELECT method, metric, n, round(mean, 6) AS mean, round(ms[{_LOW + 1}], 6) AS low, round(ms[{_HIGH + 1}], 6) AS high FROM bo JOIN (SELECT method, metric, count(*) AS n, avg(v) AS mean FROM nu GROUP BY ALL) USING (method, metric)"))
+def metric_error_bars(t: Tables) -> DataFrame:
+    """B4, M10."""
+    return metrics.error_bars(_per_query(t).where("judged"), BOOTSTRAPS).select("method", "metric", "n", r6("mean"), r6("low"), r6("high"))
+
+
+@query(with_(*RUNS, DELTAS, then="SELECT comparison, 'ndcg@10' AS metric, round(avg(delta), 6) AS mean, round(CASE WHEN stddev_samp(delta) > 0 THEN avg(delta) / stddev_samp(delta) END, 6) AS effect_size FROM de GROUP BY 1"))
+def effect_sizes(t: Tables) -> DataFrame:
+    """2.20."""
+    return stats.effect_size(_deltas(t)).select("comparison", "metric", r6("mean"), r6("effect_size"))
+
+
+@query(with_(Q, then=f"""SELECT query_id, {FOLD.format('passage')} AS folded, {FOLD.format('text')} <> '' AND contains({FOLD.format('passage')}, {FOLD.format('text')}) AS contains_text,
+    len(list_filter([{", ".join(f"'{m}'" for m in T.BRIDGE_MARKERS)}], lambda m: contains(' ' || lower(passage) || ' ', m))) > 0 AS bridge,
+    CASE WHEN len(list_filter([{", ".join(f"'{m}'" for m in T.GENERIC_PHRASES)}], lambda m: contains({FOLD.format('passage')}, m))) > 0 THEN 0.15e0 ELSE 0.0e0 END AS generic,
+    array_to_string(list_sort(list_distinct(list_filter({TOKENS.format("passage")}, lambda x: x NOT IN ({STOP})))), ' ') AS shape,
+    CASE WHEN regexp_matches(answer, '["“”'']') OR len(regexp_split_to_array(trim(answer), '\\s+')) >= 3 THEN 'WORK' ELSE 'ENTITY' END AS obfuscation,
+    trim(text) || chr(10) || trim(passage) AS titled, contains({FOLD.format('passage')}, {FOLD.format('answer')}) AND {FOLD.format('answer')} <> '' AS supported FROM q"""))
+def query_forms(t: Tables) -> DataFrame:
+    """F3, F4, F26, F27, F32-F34, P2."""
+    q, p, a = F.col("text"), F.col("passage"), F.col("answers")[0]
+    return t.queries.select(
+        "query_id", T.folded(p).alias("folded"), T.contains_folded(p, q).alias("contains_text"), T.needs_bridge(p).alias("bridge"), T.generic_penalty(p).alias("generic"), T.shape_key(p).alias("shape"),
+        T.obfuscation_type(a).alias("obfuscation"), T.title_and_text(q, p).alias("titled"), T.has_support_term(p, F.array(a)).alias("supported"),
+    )
+
+
+@query(with_(Q, then=r"""SELECT query_id, array_to_string(list_slice(list_filter(v, lambda x, i: x <> '' AND list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i), 1, 6), '|') AS distinct_queries,
+    text || '|' || answer AS cleaned, CASE query_id % 3 WHEN 0 THEN 0.25e0 WHEN 1 THEN 2.0e0 END AS beta, text || ' in ' || answer AS deobfuscated, 'first term|' || lower(replace(answer, ',', '')) AS support
+    FROM (SELECT *, list_transform([text, '  ' || upper(text) || ' ', answer, '', text || '  ' || answer, lower(answer)], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS v FROM q)"""))
+def value_lists(t: Tables) -> DataFrame:
+    """F28, F30, F31, F43, P3."""
+    q, a = F.col("text"), F.col("answers")[0]
+    values = F.array(q, F.concat(F.lit("  "), F.upper(q), F.lit(" ")), a, F.lit(""), F.concat_ws("  ", q, a), F.lower(a))
+    name = F.when(F.col("query_id") % 3 == 0, "fawe_x_beta0p25").when(F.col("query_id") % 3 == 1, "fawe_x_beta2").otherwise("query_only")
+    marks = F.array(F.struct(F.lit("[E1]").alias("placeholder"), q.alias("original")), F.struct(F.lit("[E2]").alias("placeholder"), a.alias("original")))
+    context = F.concat(F.lit("support_terms: first term, "), F.lower(F.replace(a, F.lit(","), F.lit(""))), F.lit(" , First  Term\nsupport_snippets:\n- x"))
+    return t.queries.select(
+        "query_id", F.array_join(T.unique_queries(values), "|").alias("distinct_queries"), F.array_join(T.cleaned_list(F.array(F.concat(q, F.lit(" ")), F.lit(" "), a)), "|").alias("cleaned"),
+        T.beta_of_method(name).alias("beta"), T.deobfuscate(F.lit(" [E1] in [E2]"), marks).alias("deobfuscated"), F.array_join(T.support_terms_of(context), "|").alias("support"),
+    )
+
+
+@query(r"""WITH p AS (SELECT item_id AS query_id, text, list_concat(regexp_extract_all(text, '"([^"\n]{2,120})"', 1), regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b')) AS s FROM benchmark WHERE NOT regexp_matches(text, '[^ -~\n]')),
+    k AS (SELECT *, list_filter(s, lambda x: lower(x) NOT IN ('the','a','an','who','what','where','when','which','how','question')) AS a FROM p)
+    SELECT query_id, array_to_string(list_filter(a, lambda v, i: list_position(list_transform(a, lambda x: lower(x)), lower(v)) = i), '|') AS anchors,
+        array_to_string(list_filter(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b'), lambda x: x NOT IN ('The', 'A', 'An', 'Question')), '|') AS capitalised,
+        array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(list_concat(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b'), regexp_extract_all(text, '"([^"\n]{2,120})"', 1)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))),
+            list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))), lambda x: x <> ''))), '|') AS keys FROM k""")
+def query_anchors(t: Tables) -> DataFrame:
+    """F7, F8, F10, over passages of ASCII: the SQL dialect's word boundaries are ASCII's."""
+    p = t.passages.where(~F.regexp_like("text", F.lit(r"[^ -~\n]")))
+    text = F.col("text")
+    return p.select("query_id", F.array_join(T.anchors(text), "|").alias("anchors"), F.array_join(T.capitalised_spans(text), "|").alias("capitalised"), F.array_join(F.sort_array(T.anchor_keys(text)), "|").alias("keys"))
+
+
+@query(with_(*RUNS[:5], then="SELECT query_id, method, CAST(doc_id AS VARCHAR) AS doc_id, rank FROM runs"))
+def record_files(t: Tables) -> DataFrame:
+    """Rankings written as run records and read back."""
+    path = new_path(t.spark, "records")
+    datasets.write_records(_runs(t).select("query_id", "method", "doc_id", "rank", "score"), t.qrels, _methods(t), path, queries=t.texts, context={"retriever": "bm25"})
+    return datasets.record_rankings(datasets.read_records(t.spark, path)).select(F.col("query_id").cast("long").alias("query_id"), "method", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+def _exported(t: Tables) -> datasets.Dataset:
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    docs = t.documents.select(text("doc_id"), F.lit("").alias("title"), "text", none("metadata"), none("original_text"), F.col("doc_id").alias("ord"))
+    asked = t.queries.select(text("query_id"), "text", "answers", "answer_aliases", T.strings().alias("supporting_doc_ids"), T.strings().alias("supporting_facts"), none("metadata"), none("original_text"), "ord")
+    path = new_path(t.spark, "dataset")
+    datasets.export(datasets.Dataset("exported", docs, asked, t.qrels.select(text("query_id"), text("doc_id"), "grade")), path)
+    return datasets.load(t.spark, path)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def exported_documents(t: Tables) -> DataFrame:
+    """The documents exported as a local dataset and loaded again."""
+    return _exported(t).documents.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(with_(Q, QRELS, then="SELECT CAST(q.query_id AS VARCHAR) AS query_id, text, answer, count(r.doc_id) AS n_relevant, coalesce(CAST(max(grade) AS INTEGER), 0) AS best FROM q LEFT JOIN qrels r USING (query_id) GROUP BY ALL"))
+def exported_queries(t: Tables) -> DataFrame:
+    """Queries and judgements after the same round trip."""
+    d = _exported(t)
+    per = d.qrels.groupBy("query_id").agg(F.count("*").alias("n"), F.max("grade").alias("best"))
+    return d.queries.join(per, "query_id", "left").select("query_id", "text", F.col("answers")[0].alias("answer"), F.coalesce("n", F.lit(0).cast("long")).alias("n_relevant"), F.coalesce("best", F.lit(0)).alias("best"))
+
+
+@query(with_(*RUNS, then="SELECT method, printf('%.3f', avg(ndcg10)) AS ndcg10, CASE WHEN method = 'query_only' THEN 'TBD' ELSE printf('%+.3f', avg(ndcg10) - (SELECT avg(ndcg10) FROM pq WHERE judged AND method = 'query_only')) END AS delta FROM pq WHERE judged GROUP BY method"))
+def report_table(t: Tables) -> DataFrame:
+    """A formatted report written as CSV and read back."""
+    m = metrics.method_ranking(metrics.macro_metrics(_per_query(t)))
+    path = new_path(t.spark, "report")
+    delta = F.when(F.col("method") != "query_only", F.col("delta"))
+    datasets.write_csv(m.select("method", datasets.formatted(F.col("value")).alias("ndcg10"), datasets.formatted(delta, True).alias("delta")), path)
+    return t.spark.read.option("header", True).csv(path)
+
+
+@query(with_(Q, then=f"""SELECT avg(len(regexp_split_to_array(trim(passage), '\\s+'))) AS avg_expected_token_count, 0.0e0 + avg(len(regexp_split_to_array(trim(text), '\\s+'))) AS avg_hyde_token_count,
+    avg(contains(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')))::INT) AS rate_contains_gold_answer FROM q"""))
+def feature_averages(t: Tables) -> DataFrame:
+    """A7."""
+    f = leakage.generation_features(t.queries.select("query_id", "answers", "answer_aliases", F.col("passage").alias("expected"), F.col("text").alias("masked"), F.col("text").alias("hyde")))
+    return leakage.summarize_features(f).select("avg_expected_token_count", "avg_hyde_token_count", "rate_contains_gold_answer")

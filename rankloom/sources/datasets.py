@@ -345,7 +345,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def formatted(value: Column, signed: bool = False, missing: str = "TBD") -> Column:
     """F44. Three decimals; a mark for null."""
-    return F.coalesce(F.format_string("%+.3f" if signed else "%.3f", value), F.lit(missing))
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%+.3f" if signed else "%.3f", value))
 
 
 def markdown_table(df: DataFrame) -> str:

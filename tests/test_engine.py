@@ -34,6 +34,11 @@ def test_candidates_and_keys(spark):
     assert one(spark, " A--b C ", T.normal_key(F.col("t")))[0] == "a b c"
 
 
+def test_values_in_lists_are_trimmed(spark):
+    assert one(spark, ' "1 a 0 " x', T.candidates(F.col("t")))[0][0] == "1 a 0" and one(spark, "", T.cleaned_list(T.strings(" a ", " ", "1 b", "2")))[0] == ["a", "1 b", "2"]
+    assert list(one(spark, "", datasets.formatted(F.lit(None).cast("double")), datasets.formatted(F.lit(0.5), True))) == ["TBD", "+0.500"]
+
+
 def test_masks(spark):
     q = F.lit("Who met Jane Roe?")
     text = "Jane Roe met John Doe on January 5, 2020 in New York"
