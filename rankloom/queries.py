@@ -1049,11 +1049,11 @@ def query_forms(t: Tables) -> DataFrame:
 
 @query(with_(Q, then=r"""SELECT query_id, array_to_string(list_slice(list_filter(v, lambda x, i: x <> '' AND list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i), 1, 6), '|') AS distinct_queries,
     text || '|' || answer AS cleaned, CASE query_id % 3 WHEN 0 THEN 0.25e0 WHEN 1 THEN 2.0e0 END AS beta, text || ' in ' || answer AS deobfuscated, 'first term|' || lower(replace(answer, ',', '')) AS support
-    FROM (SELECT *, list_transform([text, '  ' || upper(text) || ' ', answer, '', text || '  ' || answer, lower(answer)], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS v FROM q)"""))
+    FROM (SELECT *, list_transform([text, '  ' || lower(text) || ' ', answer, '', text || '  ' || answer, lower(answer)], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS v FROM q)"""))
 def value_lists(t: Tables) -> DataFrame:
     """F28, F30, F31, F43, P3."""
     q, a = F.col("text"), F.col("answers")[0]
-    values = F.array(q, F.concat(F.lit("  "), F.upper(q), F.lit(" ")), a, F.lit(""), F.concat_ws("  ", q, a), F.lower(a))
+    values = F.array(q, F.concat(F.lit("  "), F.lower(q), F.lit(" ")), a, F.lit(""), F.concat_ws("  ", q, a), F.lower(a))
     name = F.when(F.col("query_id") % 3 == 0, "fawe_x_beta0p25").when(F.col("query_id") % 3 == 1, "fawe_x_beta2").otherwise("query_only")
     marks = F.array(F.struct(F.lit("[E1]").alias("placeholder"), q.alias("original")), F.struct(F.lit("[E2]").alias("placeholder"), a.alias("original")))
     context = F.concat(F.lit("support_terms: first term, "), F.lower(F.replace(a, F.lit(","), F.lit(""))), F.lit(" , First  Term\nsupport_snippets:\n- x"))
