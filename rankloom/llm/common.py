@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of text in an Arrow batch; a batch is held by one Python worker at a time.
 TEXT_ROWS = 500
 #: Bytes of text that the numpy passes take at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def tune(spark: SparkSession) -> None:
