@@ -20,7 +20,7 @@ SLICE_BYTES = 1 << 18
 def tune(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, by rows and by bytes; the same for all operators, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
