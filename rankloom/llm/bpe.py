@@ -6,10 +6,12 @@ import base64
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from .common import quoted, tune, with_made
 
 #: Characters of text handed to the library at once: it holds about a hundred bytes for each token of a call.
 CALL_CHARS = 1 << 18
+#: Characters of matches, and 32 for each, that a worker remembers with their ids.
+KNOWN_CHARS = 1 << 25
+#: Texts with other characters are split by the library: of these letters, digits and spaces no Unicode version differs.
+OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
 
 
 def byte_characters() -> list[str]:
@@ -73,6 +79,10 @@ class Codec:
         table: list[bytes] = [b""] * (max(vocab.values(), default=-1) + 1)
         for word, rank in vocab.items():
             table[rank] = bytes(of[c] for c in word)
+        pattern = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = None if "(?<" in pattern else regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
+        self.room = KNOWN_CHARS
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.begin = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -85,17 +95,38 @@ class Codec:
         return cls._made[key]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, by the library; a null text is empty. Texts go to the library in calls of CALL_CHARS or one text."""
+        """Ids of each text, by the library; a null text is empty. Texts go to the library in calls of CALL_CHARS or one text,
+        and of these each match of the pattern that is not known from before, once."""
         part: list[str] = []
         size = 0
         for i, text in enumerate(texts):
             part.append(text or "")
             size += len(part[-1])
             if size >= CALL_CHARS or i + 1 == len(texts):
-                for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                    yield np.array(e.ids, "<u4")
+                yield from self._call(part)
                 part, size = [], 0
 
+    def _matches(self, text: str) -> list[str] | None:
+        """The pattern's matches; None where the library splits the text."""
+        if self.pattern is None or len(text) > CALL_CHARS or not text.isascii() and OTHER.search(text):
+            return None
+        found = self.pattern.findall(text)
+        return found if sum(map(len, found)) == len(text) else None
+
+    def _call(self, part: list[str]) -> Iterator[np.ndarray]:
+        split = [self._matches(t) for t in part]
+        own = set().union(*(m for m in split if m is not None))
+        new = [m for m in own if m not in self.known]
+        if sum(map(len, new)) + 32 * len(new) > self.room:
+            self.known, self.room, new = {}, KNOWN_CHARS, list(own)
+        self.room -= sum(map(len, new)) + 32 * len(new)
+        found = self.tokenizer.encode_batch_fast(new + [t for t, m in zip(part, split) if m is None], add_special_tokens=False)
+        for m, e in zip(new, found):
+            self.known[m] = np.array(e.ids, "<u4").tobytes()
+        whole = iter(found[len(new) :])
+        for m in split:
+            yield np.array(next(whole).ids, "<u4") if m is None else np.frombuffer(b"".join(map(self.known.__getitem__, m)), "<u4")
+
     def offsets(self, ids: np.ndarray, text: str | None) -> np.ndarray:
         """(n, 2): the characters of text that each id touches, from the first to after the last.
 

@@ -315,3 +315,22 @@ def test_clashing_and_null_columns(spark, name):
     assert not passed or set(passed) == set(extra) - set(a.columns)
     nulls = plain.select(*[F.lit(None).cast(t).alias(c) for c, t in plain.dtypes])
     assert run(nulls).count() >= 0 and run(plain.where("false")).count() == 0
+
+
+def test_known_matches_equal_the_library(monkeypatch):
+    """op10: each match goes to the library once; all characters that are split here, others, and a full memory."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    spec = bpe.tokenizer_json(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    codec, rng = bpe.Codec(spec), random.Random(23)
+    chars = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070), 0x180E, 0x3000, 0x4E2D, 0x1F600)]
+    texts = [None, "", *(f"a{c}b {c}c{c}{c} 1{c}  {c} 's{c}\n\n{c}x" for c in chars), *("".join(rng.choices(chars[9:14] + chars[32:127] + chars[160:256], k=200)) for _ in range(300)), *("It's the  same 12 words' " * n for n in range(60))]
+    for room in (bpe.KNOWN_CHARS, 3000):
+        monkeypatch.setattr(bpe, "KNOWN_CHARS", room)
+        codec.room = room
+        got = [x.tolist() for x in codec.encode(texts)]
+        assert got == [e.ids for e in codec.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    calls, library = [], codec.tokenizer
+    codec.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, part, **k: calls.extend(part) or library.encode_batch_fast(part, **k)})()
+    codec.known, codec.room = {}, 1 << 20
+    list(codec.encode(["one two one two"] * 50))
+    assert sorted(calls) == [" one", " two", "one"]
