@@ -65,7 +65,8 @@ def bootstrap_hashed(deltas: DataFrame, keys: tuple[str, ...] = ("comparison", "
     rows = numbered(deltas, keys, order)
     draws = rows.select(*keys, "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     draws = draws.withColumn("i", F.pmod(_hash_int(F.lit(seed), F.col("b"), F.col("j")), F.col("n")))
-    means = draws.join(rows.select(*keys, "i", "delta"), [*keys, "i"]).groupBy(*keys, "b").agg(F.round(F.avg("delta"), 9).alias("m"))
+    # draws are `resamples` times the rows, which the planner does not see: merged, or it would broadcast them
+    means = draws.hint("merge").join(rows.select(*keys, "i", "delta"), [*keys, "i"]).groupBy(*keys, "b").agg(F.round(F.avg("delta"), 9).alias("m"))
     low, high = interval_places(resamples, alpha)
     bounds = means.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(*keys, F.col("ms")[low].alias("low"), F.col("ms")[high].alias("high"))
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("delta").alias("mean")).join(bounds, list(keys))
