@@ -144,13 +144,14 @@ def run(dataset: Dataset, config: Config = Config()) -> Result:
     method_texts = texts.withColumnRenamed("route", "method")
     per_query = metrics.per_query_metrics(rankings, dataset.qrels, config.ks)
     macro = metrics.macro_metrics(per_query)
+    ran = q.select("query_id", F.explode(F.array(*[F.lit(m) for m in chosen])).alias("method"))  # also what found nothing
     scores_ = leakage.score_expansions(method_texts, q, leakage.evidence_of(dataset.qrels, docs))
     reports = {
         "method_ranking": metrics.method_ranking(macro), "leakage_summary": leakage.summarize(scores_), "duplicates": metrics.duplicate_audit(method_texts, rankings, SUSPICIOUS),
         "rescue": metrics.mean_deltas(per_query, RESCUE), "dominance": metrics.mean_deltas(per_query, DOMINANCE), "position": metrics.mean_deltas(per_query, POSITION),
         "deltas": metrics.paired_deltas(per_query, PRIMARY, tuple(c for c in per_query.columns if "@" in c)), "diagnostics": metrics.retrieval_diagnostics(method_texts, rankings, dataset.qrels),
         "bucket_metrics": metrics.bucketed_metrics(per_query, scores_.where("method = 'raw_expected_answer_only'").select("query_id", "bucket")),
-        "coverage": metrics.qrel_coverage(q, dataset.qrels, docs), "error_bars": metrics.error_bars(per_query.where("judged")),
+        "coverage": metrics.qrel_coverage(q, dataset.qrels, docs), "error_bars": metrics.error_bars(per_query, ran=ran),
         "integrity": metrics.integrity_rates(metrics.wrong_answer_verification(method_texts, generation.wrong_answers(q), q)),
     }
     return Result(chosen, method_texts, rankings, per_query, macro, scores_, reports)
